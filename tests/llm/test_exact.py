@@ -1,0 +1,374 @@
+"""Operators against brute force, round trips and held-out rows."""
+
+import random
+from collections import Counter, defaultdict
+from itertools import product
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from reachlight.llm import bpe, language, lengths, media, neardup, packing, pii, queries, repetition, sharding, toxicity
+
+
+@pytest.fixture(scope="module")
+def texts():
+    import duckdb
+
+    return duckdb.sql("SELECT doc_id, text, lang, source FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").df()
+
+
+# repetition
+def longest_repeats(t, k):
+    n, best, covered = len(t), 0, set()
+    for i in range(n):
+        own = 0
+        for j in range(n):
+            m = 0
+            while i != j and i + m < n and j + m < n and t[i + m] == t[j + m]:
+                m += 1
+            own = max(own, m)
+        best = max(best, own)
+        if own >= k:
+            covered |= set(range(i, i + own))
+    return (len(covered) / n, best) if best >= k else (0.0, 0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abé漢", min_size=1, max_size=45), st.integers(2, 7))
+def test_repeats(t, k):
+    assert repetition.repeats(t, k) == longest_repeats(t, k) if len(t) > k else repetition.repeats(t, k) == (0.0, 0)
+    codes = np.array([ord(c) for c in t], np.uint32)
+    sa, lcp = repetition.suffixes(codes)
+    assert list(sa) == sorted(range(len(t)), key=lambda i: t[i:])
+    for length, lo, hi in repetition.intervals(lcp, k):
+        assert len({t[i : i + length] for i in sa[lo : hi + 1]}) == 1 and hi > lo and length >= k
+
+
+def test_repetition_query(spark, folder, texts):
+    got = {r.doc_id for r in queries.QUERIES["op2_quality_repetition"](spark, folder).collect()}
+    short = texts[texts.text.str.len() < 400]
+    for doc, t in zip(short.doc_id, short.text):
+        covered, longest = longest_repeats(t, repetition.SHORTEST)
+        assert (doc in got) == (covered <= repetition.MOST_COVERED and longest <= repetition.LONGEST)
+
+
+# token counts and encoding
+def test_lengths_query(spark, folder, texts):
+    encode = lengths.encoder(lengths.VOCABULARY)
+    n = np.array([len(encode(t)) for t in texts.text])
+    got = queries.QUERIES["op4_token_lengths"](spark, folder).toPandas()
+    assert sorted(got.n_tokens) == sorted(set(n))
+    for r in got.itertuples():
+        assert (r.n_docs, r.docs_up_to, r.docs_over) == ((n == r.n_tokens).sum(), (n <= r.n_tokens).sum(), (n > r.n_tokens).sum())
+        assert (r.total_tokens, r.tokens_over, r.truncated_tokens) == (n.sum(), n[n > r.n_tokens].sum(), np.minimum(n, r.n_tokens).sum())
+        assert r.lost_tokens == n.sum() - r.truncated_tokens and abs(r.quantile - (n <= r.n_tokens).mean()) < 1e-12
+
+
+@pytest.fixture(scope="module")
+def pair():
+    return bpe.Bpe(), lengths.encoder(lengths.VOCABULARY)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=80))
+def test_bpe_is_exact(pair, t):
+    own, other = pair
+    assert own.encode(t) == other(t) and own.decode(own.encode(t)) == t
+    assert lengths.Counter(other)(t) == len(other(t))
+
+
+def test_bpe_of_long_pieces(pair):
+    own, other = pair
+    rng = random.Random(1)
+    for _ in range(40):
+        t = "".join(rng.choice("etaoinsh  \n.1é") for _ in range(500)) + "e" * 300
+        assert own.encode(t) == other(t)
+
+
+def test_bpe_of_another_vocabulary():
+    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    own, other = bpe.Bpe(path), lengths.encoder(path)
+    for t in ("Der Fluss läuft über grüne Hügel", "el río corre, señor", "漢字かな交じり文", "mixed 漢字 and words"):
+        assert own.encode(t) == other(t)
+
+
+def test_bpe_query(spark, folder, texts, pair):
+    got = {r.doc_id: r for r in queries.QUERIES["op7_bpe"](spark, folder).collect()}
+    assert all(got[d].ids == pair[1](t) and got[d].exact for d, t in zip(texts.doc_id, texts.text))
+    back = {r.doc_id: r.text for r in bpe.decoded(queries.QUERIES["op7_bpe"](spark, folder)).collect()}
+    assert all(back[d] == t for d, t in zip(texts.doc_id, texts.text))
+
+
+# packing
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=13, max_size=13))
+def test_plan_packs_every_piece(counts):
+    counts[0] = 0
+    used = Counter()
+    for combo, n in packing.plan(np.array(counts)):
+        assert sum(combo) <= 12 and n > 0
+        for k in combo:
+            used[k] += n
+    assert all(used[k] == counts[k] for k in range(1, 13))
+
+
+def test_nnls_is_optimal():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        a, b = rng.random((6, 9)), rng.random(6)
+        x = packing.nnls(a, b)
+        g = a.T @ (a @ x - b)
+        assert (x >= 0).all() and (g > -1e-6).all() and abs(x @ g) < 1e-6
+
+
+def test_packing_query(spark, folder, texts):
+    got = queries.QUERIES["op3_packing"](spark, folder).toPandas()
+    size = {d: len(t.encode()) for d, t in zip(texts.doc_id, texts.text)}
+    want = {(d, s, min(packing.WINDOW, n - s)) for d, n in size.items() for s in range(0, n, packing.WINDOW)}
+    assert {(r.doc_id, r.start, r.tokens) for r in got.itertuples()} == want and len(got) == len(want)
+    for _, w in got.sort_values("offset").groupby("pack"):
+        ends = (w.offset + w.tokens).to_numpy()
+        assert (w.offset.to_numpy()[1:] >= ends[:-1]).all() and ends[-1] <= packing.WINDOW
+    assert got["pack"].nunique() <= 1.1 * np.ceil(sum(size.values()) / packing.WINDOW) + 2
+
+
+# near duplicates
+@pytest.mark.parametrize(("n", "threshold"), [(1, 0.75), (2, 0.6), (1, 0.9)])
+def test_all_pairs(spark, texts, n, threshold):
+    own = dict(zip(texts.doc_id, map(frozenset, (s.tolist() for s in neardup.sets(texts.text.tolist(), n)))))
+    want = {}
+    for a, b in ((a, b) for a, b in product(own, own) if a < b):
+        j = len(own[a] & own[b]) / max(1, len(own[a] | own[b]))
+        if j >= threshold:
+            want[a, b] = j
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in neardup.similar(spark.createDataFrame(texts), n, threshold).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
+
+
+def test_all_pairs_of_invented_sets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 8)  # small sets too go through segments, neighbourhoods and the poor bands
+    rng = random.Random(4)
+    docs = []
+    for i in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((3, 9, 20, 45, 120, 300)))]
+        for _ in range(rng.choice((1, 1, 2, 5))):
+            docs.append(" ".join(w if rng.random() > 0.06 else f"v{rng.randrange(10**6)}" for w in base) + " the of and")
+    frame = pd.DataFrame({"doc_id": range(len(docs)), "text": docs})
+    own = [set(d.split()) for d in docs]
+    want = {(a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.75}
+    assert {(r.doc_a, r.doc_b) for r in neardup.similar(spark.createDataFrame(frame)).collect()} == want and len(want) > 30
+
+
+def test_bands_hold_every_similar_size():
+    plan = neardup.Plan(0.75)
+    for size in range(1, 3000):
+        low = plan.least(size)
+        assert plan.band(size) - plan.band(low) <= 1
+        for s in (low, size):
+            overlap = max(int(np.ceil(0.75 / 1.75 * (s + size) - 1e-9)), 0)
+            if overlap <= s:
+                assert plan.differing(size, plan.band(s)) >= s + size - 2 * overlap
+
+
+def test_groups(spark):
+    rng = random.Random(9)
+    edges = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(170)} | {(i, i + 1) for i in range(400, 440)}
+    label = {v: v for e in edges for v in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            least = min(label[a], label[b])
+            changed |= label[a] != least or label[b] != least
+            label[a] = label[b] = least
+    got = {r.doc: r.least for r in neardup.groups(spark.createDataFrame(sorted(edges), "doc_a long, doc_b long")).collect()}
+    assert got == label
+
+
+# language
+def test_marginals_by_enumeration(monkeypatch):
+    rng = np.random.default_rng(0)
+    moves, begin = rng.normal(size=(3, 3)), rng.normal(size=3)
+    size = np.array([4, 0, 5, 1])
+    scores = rng.normal(size=(10, 3)) * 3
+    for chunk in (2, 3, 100):
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        p, z, _ = language.marginals(scores, size, moves, begin)
+        at = 0
+        for i, n in enumerate(size):
+            s = scores[at : at + n]
+            total, sums = 0.0, np.zeros((n, 3))
+            for y in product(range(3), repeat=int(n)):
+                w = np.exp((begin[y[0]] if n else 0) + sum(s[k, y[k]] for k in range(n)) + sum(moves[y[k], y[k + 1]] for k in range(n - 1)))
+                total += w
+                for k in range(n):
+                    sums[k, y[k]] += w
+            if n:
+                assert np.allclose(p[at : at + n], sums / total) and np.isclose(z[i], np.log(total))
+            at += n
+
+
+def test_language_held_out(texts):
+    train, test = texts[texts.doc_id % 2 == 0], texts[texts.doc_id % 2 == 1]
+    model = language.fit(train.text.tolist(), train.lang.tolist())
+    found = language.documents(test.text.tolist(), model)
+    assert (found.language.to_numpy() == test.lang.to_numpy()).mean() > 0.95
+    # code-switched: the labels change where the language does
+    en, fr = (train[train.lang == x].text.iloc[0].split()[:40] for x in ("en", "fr"))
+    both = language.documents([" ".join(en + fr + en)], model).iloc[0]
+    assert 1 <= both.switches <= 8 and 0.5 < both.share < 0.9
+
+
+# personal data
+def test_pii_held_out(texts):
+    model = pii.fit(texts.text.tolist()[:80], steps=140)
+    rng = np.random.default_rng(77)
+    ids, gold = pii.examples(texts.text.tolist()[80:], rng, 200, pii.LENGTH)
+    want, got = set(pii.window_spans(gold.T)), set(pii.window_spans(pii.decode(model, ids).T))
+    hit = lambda a, b: sum(any(x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in b) for x in a) / len(a)
+    assert hit(want, got) > 0.75 and hit(got, want) > 0.75
+
+
+def test_crf_gradient():
+    rng = np.random.default_rng(3)
+    emit, moves = rng.normal(size=(4, 2, pii.TAGS)), rng.normal(size=(pii.TAGS, pii.TAGS))
+    gold = np.array([[0, 1], [1, 2], [2, 2], [0, 0]])
+    _, grad, grad_moves = pii.crf(emit, moves, gold)
+    for at in ((1, 0, 1), (2, 1, 2), (3, 0, 0)):
+        e = emit.copy()
+        e[at] += 1e-5
+        assert np.isclose((pii.crf(e, moves, gold)[0] - pii.crf(emit, moves, gold)[0]) / 1e-5, grad[at], atol=1e-4)
+    m = moves.copy()
+    m[1, 2] += 1e-5
+    assert np.isclose((pii.crf(emit, m, gold)[0] - pii.crf(emit, moves, gold)[0]) / 1e-5, grad_moves[1, 2], atol=1e-4)
+
+
+def test_reconcile():
+    assert pii.reconcile([(90, 100, 0, 0, 100), (96, 112, 0, 96, 192), (90, 112, 0, 50, 150)]) == [(90, 112, 0)]
+    assert pii.reconcile([(10, 20, 0, 0, 100), (15, 30, 1, 0, 100), (30, 35, 2, 0, 100)]) in ([(15, 30, 1), (30, 35, 2)], [(10, 20, 0), (30, 35, 2)])
+    spans = pii.reconcile([(b, b + 9, b % 3, 0, 99) for b in range(0, 80, 4)])
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_every_made_span_holds_a_mark():
+    make = pii.Maker(np.random.default_rng(5))
+    assert sum(bool(pii.MARK.search(getattr(make, k)()[1])) for k in pii.KINDS for _ in range(200)) >= 1190
+
+
+# toxicity
+def test_toxicity_held_out():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    bad = ["scoundrel", "fool", "wretch"]
+    docs, labels = [], []
+    for i in range(900):
+        d = [rng.choice(words) for _ in range(rng.randrange(20, 200))]
+        if i % 6 == 0:
+            for _ in range(3):
+                d.insert(rng.randrange(len(d)), rng.choice(bad))
+        docs.append(" ".join(d))
+        labels.append(int(i % 6 == 0))
+    model = toxicity.fit(docs[:600], labels[:600])
+    p = toxicity.probabilities(docs[600:], model) >= 0.5
+    y = np.array(labels[600:], bool)
+    assert (p & y).sum() / y.sum() > 0.95 and (p & ~y).sum() == 0 and len(model[0]) < 2000
+    dense = np.zeros(1 << toxicity.BITS)
+    dense[model[0]] = model[1]
+    place, doc = toxicity.features(toxicity.Words(docs[600:]))
+    sums = np.bincount(doc, weights=dense[place], minlength=300) + model[2]
+    assert np.allclose(toxicity.probabilities(docs[600:], model), 1 / (1 + np.exp(-sums)))
+
+
+def test_toxicity_without_a_class():
+    assert toxicity.probabilities(["a"], toxicity.fit([], [])).max() < 1e-6
+    assert toxicity.probabilities(["a"], toxicity.fit(["a", "b"], [0, 0])).max() < 1e-6
+
+
+# sharding
+def test_sharding(spark, texts):
+    hot = texts.assign(source=np.where(texts.doc_id % 3 > 0, "m", texts.source))
+    out = sharding.shard(spark.createDataFrame(hot), target=20_000).toPandas()
+    assert sorted(out.doc_id) == sorted(hot.doc_id)
+    size = out.text.str.encode("utf-8").str.len().groupby(out.shard).sum()
+    longest = out.text.str.encode("utf-8").str.len().max()
+    assert size.max() <= 3 * 20_000 + longest and len(size) >= size.sum() / 20_000 / 2
+    top = -1
+    keys = out.groupby("source").shard.agg(["min", "max"]).sort_index()
+    for lo, hi in keys.itertuples(index=False):
+        assert lo >= top
+        top = hi
+    assert keys.loc["m", "max"] > keys.loc["m", "min"]
+
+
+def test_one_task_holds_one_shard(spark, texts):
+    from pyspark.sql import functions as F
+
+    out = sharding.shard(spark.createDataFrame(texts), target=30_000).select("shard", F.spark_partition_id().alias("p")).distinct().toPandas()
+    assert out.groupby("p").shard.nunique().max() == 1 and out.groupby("shard").p.nunique().max() == 1
+
+
+def test_splitters_by_weight():
+    drawn = pd.DataFrame({"k": list("aabbbbbbcd"), "u": range(10), "weight": [10.0] * 10})
+    bounds = sharding.splitters(drawn, 5, 20.0)
+    assert bounds.k.tolist()[0] == "a" and (bounds.k == "b").sum() >= 3 and bounds.equals(bounds.sort_values(["k", "u"]).reset_index(drop=True))
+
+
+# media
+def test_tones_are_found():
+    rate = 8000
+    t = np.arange(rate * 2) / rate
+    x = (12000 * (np.sin(2 * np.pi * 1000 * t) * (t < 1) + np.sin(2 * np.pi * 2000 * t) * (t >= 1))).astype("<i2")
+    got_rate, channels, samples = media.read_wav(media.wav_bytes(x, rate))
+    assert (got_rate, channels, len(samples)) == (rate, 1, len(x)) and np.allclose(samples, x / 32768)
+    frames, bins = media.peaks(samples)
+    hz = (bins + 1) * rate / media.FRAME
+    first = frames < rate // media.HOP - 3
+    assert abs(np.median(hz[first]) - 1000) < 40 and abs(np.median(hz[~first & (frames > rate // media.HOP + 3)]) - 2000) < 40
+
+
+def test_fingerprints_shift_with_the_sound():
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 0.1, 16000).astype(np.float32)
+    a = Counter(zip(*(v.tolist() for v in media.fingerprint(x))))
+    b = Counter(zip(*(v.tolist() for v in media.fingerprint(np.concatenate([np.zeros(10 * media.HOP, np.float32), x])))))
+    shifted = Counter({(t + 10, h): n for (t, h), n in a.items()})
+    assert sum((shifted & b).values()) > 0.7 * sum(a.values()) > 20
+
+
+def test_widths_and_broken_files(spark):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(3)
+        w.setframerate(16000)
+        w.writeframes(b"".join(int(v).to_bytes(3, "little", signed=True) for v in (1 << 22, -(1 << 22), 1 << 21, 1 << 21)))
+    assert np.allclose(media.read_wav(out.getvalue())[2], [0, 0.25])
+    rows = [(1, b"RIFFnope"), (2, b""), (3, None), (4, media.wav_bytes(np.zeros(0, np.uint8)))]
+    got = {r.doc_id: r for r in media.fingerprints(spark.createDataFrame(rows, "doc_id long, wav binary")).collect()}
+    assert got[1].error and got[2].error and got[3].error is None and got[3].times is None and got[4].times == []
+
+
+def test_media_query(spark, folder, texts):
+    got = {r.doc_id: r for r in queries.QUERIES["op1_media_fingerprints"](spark, folder).collect()}
+    for d, t in zip(texts.doc_id, texts.text):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        x = raw.astype(np.float32) / 128 - 1
+        assert got[d].samples == len(raw)
+        if len(x) < 1500:  # peaks by looking at every neighbour
+            power = np.concatenate(list(media.stft(x)))
+            wide = np.pad(power, ((media.NEAR_FRAMES,) * 2, (media.NEAR_BINS,) * 2))
+            at = [(i, j) for i in range(power.shape[0]) for j in range(power.shape[1]) if power[i, j] > media.FLOOR * power.mean() and power[i, j] >= wide[i : i + 2 * media.NEAR_FRAMES + 1, j : j + 2 * media.NEAR_BINS + 1].max()]
+            pairs = defaultdict(list)
+            for k, (i, j) in enumerate(at):
+                used = 0
+                for i2, j2 in at[k + 1 : k + 1 + 2 * media.FAN_OUT]:
+                    if 0 < i2 - i <= media.REACH and used < media.FAN_OUT:
+                        pairs[i].append((j << 16) | (j2 << 8) | (i2 - i))
+                        used += 1
+            assert list(zip(got[d].times, got[d].hashes)) == [(i, h) for i in sorted(pairs) for h in sorted(pairs[i])]
