@@ -25,6 +25,24 @@ def is_check_name(name: Column) -> Column:
     return F.regexp_replace(last_part(F.lower(name)), "^_+", "").rlike(f"^(?:{'|'.join(catalogue.CHECK_WORDS)})(?:_|$)")
 
 
+CAMEL = "allow assert authenticate authorize can check deny enforce ensure gate guard may must permit require validate verify".split()
+#: Names that TypeScript adds to the vocabulary.
+SCRIPT_GUARDS = "abac canExecute checkAuth ensureAuthorized intercept pdp pep permission policy preAuthorize protect rbac secured".split()
+
+
+def squeezed(words: Sequence[str]) -> list[str]:
+    return sorted({w.lower().split(".")[-1].replace("_", "") for w in words})
+
+
+def is_other_guard(name: Column, guards: Sequence[str]) -> Column:
+    """Guards of the other languages, in camel case or snake case: a known name, or one that begins like a check."""
+    last = last_part(name)
+    flat = F.lower(F.regexp_replace(last, "_", ""))
+    script = flat.isin(*squeezed([*guards, *SCRIPT_GUARDS])) | flat.rlike("^(?:" + "|".join(CAMEL) + ")")
+    go = flat.isin(*squeezed(guards)) | last.rlike("^_*(?i:" + "|".join(catalogue.CHECK_WORDS) + ")(?:_|[A-Z]|$)")
+    return (name != "") & F.when(F.col("language") == "go", go).otherwise(script)
+
+
 def names(args: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(args, lambda a: a["name"])))
 
@@ -56,27 +74,29 @@ def checked(found: DataFrame, facts: DataFrame, guards: Sequence[str] = catalogu
     calls = calls_of(facts)
     first = calls.groupBy("repo", "path", "line").agg(F.min_by(names(F.col("args")), "ord").alias("sink_names"))
     sinks = found.join(first, at, "left").withColumn("sid", F.xxhash64("repo", "path", "line", "fn"))
-    maybe = calls.where((F.col("callee") != "") & (is_guard_name(F.col("callee"), guards) | is_check_name(F.col("callee")))).select(
-        "repo", "path", F.col("ord").alias("g_ord"), F.col("line").alias("g_line"), "callee", F.col("parent"), names(F.col("args")).alias("g_names"), "fids", "constant_in", "steps"
+    maybe = calls.where(F.when(F.col("language") == "python", (F.col("callee") != "") & (is_guard_name(F.col("callee"), guards) | is_check_name(F.col("callee")))).otherwise(is_other_guard(F.col("callee"), guards))).select(
+        "language", "repo", "path", F.col("ord").alias("g_ord"), F.col("line").alias("g_line"), "callee", F.col("parent"), names(F.col("args")).alias("g_names"), "fids", "constant_in", "steps"
     )
-    spots = sinks.where("fn IS NOT NULL").select("repo", "path", "line", "fn", "sink_names", "aliases").dropDuplicates(["repo", "path", "line", "fn"])
+    spots = sinks.where("fn >= 0").select("repo", "path", "line", "fn", "sink_names", "aliases").dropDuplicates(["repo", "path", "line", "fn"])
     before = spots.join(maybe, ["repo", "path"]).where((F.col("g_line") < F.col("line")) & F.array_contains("fids", F.col("fn")) & dominates())
-    best = before.groupBy("repo", "path", "line", "fn").agg(F.min_by(F.struct("callee", "parent", "g_names", "constant_in", "sink_names", "aliases"), "g_ord").alias("g")).select("repo", "path", "line", "fn", "g.*")
+    best = before.groupBy("repo", "path", "line", "fn").agg(F.min_by(F.struct("language", "callee", "parent", "g_names", "constant_in", "sink_names", "aliases"), "g_ord").alias("g")).select("repo", "path", "line", "fn", "g.*")
     local = functions_of(facts).groupBy("repo", "path", "name").agg(F.min_by("raises", "fn").alias("raises"))
     best = best.withColumn("name", last_part(F.col("callee"))).join(local, ["repo", "path", "name"], "left")
     low = F.lower("name")
-    by_name = low.rlike("^(?:" + "|".join(catalogue.RAISING_STARTS) + ")") | low.rlike("|".join(catalogue.RAISING))
+    flat = F.regexp_replace(low, "_", "")
+    other = flat.isin(*squeezed(catalogue.RAISING)) | F.col("name").rlike("^(?i:assert|enforce|ensure|must|require)(?:_|[A-Z]|$)")
+    by_name = F.when(F.col("language") != "python", other).otherwise(low.rlike("^(?:" + "|".join(catalogue.RAISING_STARTS) + ")") | low.rlike("|".join(catalogue.RAISING)))
     expanded = F.array_union("g_names", F.flatten(F.transform(F.filter("aliases", lambda a: F.array_contains(F.col("g_names"), a["name"])), lambda a: a["sources"])))
     bound = F.col("sink_names").isNull() | (F.size("g_names") == 0) | (F.size("sink_names") == 0) | F.arrays_overlap(expanded, F.col("sink_names"))
     fake = F.col("sink_names").isNotNull() & (F.size("sink_names") > 0) & F.array_contains("constant_in", F.col("fn"))
-    best = best.select(*at, "fn", F.coalesce("raises", by_name).alias("raising"), bound.alias("bound"), fake.alias("fake"), F.col("parent").isin(*USED).alias("used"))
+    best = best.select(*at, "fn", F.coalesce("raises", by_name).alias("raising"), bound.alias("bound"), fake.alias("fake"), F.col("parent").isin(*USED).alias("used"), (F.col("parent") == "Discard").alias("dropped"))
     status = (
-        F.when(F.col("raising") & ~F.col("bound") & F.col("fake"), "unbound").when(F.col("raising"), "guarded")
+        F.when(F.col("raising") & ~F.col("bound") & F.col("fake"), "unbound").when(F.col("raising") & F.col("dropped"), "weak").when(F.col("raising"), "guarded")
         .when(F.col("bound") & F.col("used"), "guarded").when(F.col("bound"), "weak").otherwise("unbound")
     )
     message = (
         F.when(F.col("raising") & ~F.col("bound") & F.col("fake"), "a raising check dominates, but it only sees constants")
-        .when(F.col("raising"), "a raising check dominates").when(F.col("bound") & F.col("used"), "a check dominates, is bound to the data, and its result is used")
+        .when(F.col("raising") & F.col("dropped"), "a raising check dominates, but its result is thrown away").when(F.col("raising"), "a raising check dominates").when(F.col("bound") & F.col("used"), "a check dominates, is bound to the data, and its result is used")
         .when(F.col("bound"), "a check dominates, but its result is discarded").otherwise("a check dominates, but it shares no data with the operation")
     )
     best = best.select(*at, "fn", status.alias("s"), message.alias("m"))

@@ -15,7 +15,7 @@ def among(x: Column, words) -> Column:
 
 
 def functions_of(facts: DataFrame) -> DataFrame:
-    return facts.select("repo", "path", "tool_names", F.explode("functions").alias("f")).select("repo", "path", "tool_names", F.col("f.ord").alias("fn"), *[F.col(f"f.{k}").alias(k) for k in ("name", "decorators", "raises", "bases", "passed_to", "listed_in", "branches", "action_lines", "aliases")])
+    return facts.select("repo", "path", "language", "tool_names", F.explode("functions").alias("f")).select("repo", "path", F.col("language").alias("fn_language"), "tool_names", F.col("f.ord").alias("fn"), *[F.col(f"f.{k}").alias(k) for k in ("name", "decorators", "raises", "bases", "passed_to", "listed_in", "branches", "action_lines", "aliases")])
 
 
 def strings(words) -> Column:
@@ -47,6 +47,8 @@ def reached(sinks: DataFrame, facts: DataFrame, module_level: bool = False) -> D
     case = None
     for name, on in signals().items():
         case = F.when(on, name) if case is None else case.when(on, name)
+    # the extractor of the other languages says itself how a function is registered
+    case = F.when(F.col("fn_language") == "python", case).otherwise(F.get("listed_in", F.lit(0)))
     found = joined.withColumn("reason", case).where("reason IS NOT NULL").withColumn("confidence", F.lit("high"))
     found = found.select(*sinks.columns, "reason", "confidence", "decorators", "aliases")
     if not module_level:

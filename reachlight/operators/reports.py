@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachlight.plans.scan import Scan
+from reachlight.sources.tree import ANALYSED
 
 NO_FINDINGS = "No supported unguarded path was identified. This does not say that the code is safe."
 LEVELS = {"high": "error", "medium": "warning", "low": "note"}
@@ -26,7 +27,7 @@ def counts(scan: Scan) -> DataFrame:
     found = scan.findings.where("NOT suppressed").groupBy("repo").agg(F.count("*").alias("findings"), *[F.count_if(F.col("effective_severity") == s).alias(s) for s in LEVELS], F.count_if(F.col("tier") == "example").alias("in_examples"))
     errors = scan.errors.groupBy("repo").agg(F.count("*").alias("errored"))
     other = scan.unsupported.groupBy("repo", "language").agg(F.count("*").alias("n")).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("unsupported"))
-    base = scan.files.groupBy("repo").agg(F.count_if(F.col("language") == "python").alias("scanned"))
+    base = scan.files.groupBy("repo").agg(F.count_if(F.col("language").isin(*ANALYSED)).alias("scanned"))
     for x in (caps, found, errors, other):
         base = base.join(x, "repo", "left")
     return base.fillna(0)

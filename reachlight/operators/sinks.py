@@ -15,6 +15,7 @@ from reachlight.plans import catalogue
 from reachlight.plans.catalogue import Rule
 
 SQL_METHODS = ("exec", "execute", "executemany", "executescript")
+GO_SQL_METHODS = ("Exec", "ExecContext", "Query", "QueryContext", "QueryRow", "QueryRowContext")
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
@@ -24,8 +25,8 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 
 def pattern_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    rows = [(i, r.priority, r.kind, p, list(r.modules), [x.lower() for x in r.excluded], [x.lower() for x in r.constructors], [x.lower() for x in r.hops]) for i, r in enumerate(rules) if r.kind in ("name", "attr", "qualified") for p in r.patterns]
-    return spark.createDataFrame(rows, "place int, priority int, how string, pattern string, modules array<string>, excluded array<string>, constructors array<string>, hops array<string>")
+    rows = [(i, r.language, r.priority, r.kind, p, list(r.modules), [x.lower() for x in r.excluded], [x.lower() for x in r.constructors], [x.lower() for x in r.hops]) for i, r in enumerate(rules) if r.kind in ("name", "attr", "qualified") for p in r.patterns]
+    return spark.createDataFrame(rows, "place int, language string, priority int, how string, pattern string, modules array<string>, excluded array<string>, constructors array<string>, hops array<string>")
 
 
 def endings(name: Column) -> Column:
@@ -44,7 +45,7 @@ def last_part(name: Column) -> Column:
 
 
 def calls_of(facts: DataFrame) -> DataFrame:
-    return facts.select("repo", "path", F.explode("calls").alias("c")).select("repo", "path", "c.*")
+    return facts.select("repo", "path", "language", F.explode("calls").alias("c")).select("repo", "path", "language", "c.*")
 
 
 KEY = ("repo", "path", "ord")
@@ -56,7 +57,9 @@ def by_pattern(calls: DataFrame, patterns: DataFrame) -> DataFrame:
     one = lambda how, on: F.when(on, F.array(F.struct(F.lit(how).alias("how"), F.col("last").alias("pattern"))))
     none = F.array().cast("array<struct<how:string,pattern:string>>")
     keys = F.concat(F.coalesce(one("name", F.col("kind") == "name"), none), F.coalesce(one("attr", F.col("kind") == "attr"), none), F.transform(qualified, lambda p: F.struct(F.lit("qualified").alias("how"), p.alias("pattern"))))
-    pairs = calls.select(*KEY, "kind", "mods", "strong", F.lower("origin").alias("origin"), F.lower(F.concat_ws(" ", "chain")).alias("way"), F.explode(keys).alias("k")).select("*", "k.how", "k.pattern").join(F.broadcast(patterns), ["how", "pattern"])
+    # Go calls that are marked aren't the caller's doing
+    calls = calls.where((F.col("language") != "go") | (F.array_join("classes", "") == ""))
+    pairs = calls.select(*KEY, "language", "kind", "mods", "strong", F.lower("origin").alias("origin"), F.lower(F.concat_ws(" ", "chain")).alias("way"), F.explode(keys).alias("k")).select("*", "k.how", "k.pattern").join(F.broadcast(patterns), ["how", "pattern", "language"])
     final = last_part(F.col("origin"))
     modules = (F.col("how") != "attr") | (F.size("modules") == 0) | F.arrays_overlap("mods", "modules")
     not_excluded = ~(F.col("strong") & F.exists("excluded", lambda x: ends_with(F.col("origin"), x) | (x == final)))
@@ -101,9 +104,15 @@ def is_database() -> Column:
 def by_sql(calls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Statements executed on a database: a literal must match a rule's pattern, anything else always counts."""
     text = first_text()
-    hits = F.array_compact(F.array(*[F.when((text == "") | text.rlike("(?is)" + "|".join(r.patterns)), F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("place"))) for i, r in enumerate(rules) if r.kind == "sql"]))
-    on = (F.col("kind") == "attr") & F.col("last").isin(*SQL_METHODS) & F.exists("args", lambda a: a["pos"].isNotNull()) & is_database()
-    return calls.where(on).select(*KEY, F.array_min(hits).alias("w")).where("w IS NOT NULL").select(*KEY, "w.place")
+
+    def hits(language: str) -> Column:
+        return F.array_compact(F.array(*[F.when((text == "") | text.rlike("(?is)" + "|".join(r.patterns)), F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("place"))) for i, r in enumerate(rules) if r.kind == "sql" and r.language == language]))
+
+    names = sorted({m for r in rules if r.kind == "sql" and r.language == "go" for m in r.modules})
+    python = (F.col("language") == "python") & F.col("last").isin(*SQL_METHODS) & is_database()
+    go = (F.col("language") == "go") & F.col("last").isin(*GO_SQL_METHODS) & F.col("receiver").isin(*names)
+    on = (F.col("kind") == "attr") & F.exists("args", lambda a: a["pos"].isNotNull()) & (python | go)
+    return calls.where(on).select(*KEY, F.array_min(F.when(F.col("language") == "go", hits("go")).otherwise(hits("python"))).alias("w")).where("w IS NOT NULL").select(*KEY, "w.place")
 
 
 def sinks(facts: DataFrame, rules: Sequence[Rule] = catalogue.RULES) -> DataFrame:
@@ -114,7 +123,7 @@ def sinks(facts: DataFrame, rules: Sequence[Rule] = catalogue.RULES) -> DataFram
     """
     spark = facts.sparkSession
     calls = calls_of(facts)
-    flagged = [(i, r.priority, {"deploy": is_deploy, "rest": is_rest}[r.kind]()) for i, r in enumerate(rules) if r.kind in ("deploy", "rest")]
+    flagged = [(i, r.priority, (F.col("language") == "python") & {"deploy": is_deploy, "rest": is_rest}[r.kind]()) for i, r in enumerate(rules) if r.kind in ("deploy", "rest")]
     special = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(i).alias("place"), F.lit(p).alias("priority"))) for i, p, on in flagged])) if flagged else None
     found = by_pattern(calls, pattern_table(spark, rules))
     if special is not None:
@@ -123,7 +132,7 @@ def sinks(facts: DataFrame, rules: Sequence[Rule] = catalogue.RULES) -> DataFram
     passes = won.unionByName(by_sql(calls, rules))
     for i, r in enumerate(rules):
         if r.kind == "open":
-            passes = passes.unionByName(calls.where(is_open_for_writing()).select(*KEY, F.lit(i).alias("place")))
+            passes = passes.unionByName(calls.where((F.col("language") == "python") & is_open_for_writing()).select(*KEY, F.lit(i).alias("place")))
     severity = F.element_at(F.array(*[F.lit(r.severity) for r in rules]), F.col("place") + 1)
     escalated = F.lit(False)
     for i, r in enumerate(rules):

@@ -21,6 +21,7 @@ class Rule:
     hops: tuple[str, ...] = ()
     escalates: tuple[str, ...] = ()
     description: str = ""
+    language: str = "python"
     tags: tuple[str, ...] = field(default=("CWE-862", "LLM06"))
 
 
@@ -60,6 +61,27 @@ RULES = (
     Rule("REPOSITORY-MUTATION", "repository_mutation", "high", "qualified", 10, patterns=_words("edit delete create_file create_pull delete_file update_file create_git_ref create_git_tag create_git_release get_git_ref.delete"), constructors=_words("Github Auth.Login github.Github github.Auth.Login github.MainClass.Github"), hops=_words("get_pull get_repo get_user get_branch create_pull get_git_ref create_git_ref get_organization"), description="changes a hosted repository", tags=("CWE-862", "LLM06")),
     Rule("GITHUB-REST-MUTATION", "repository_mutation", "high", "rest", 5, description="changes a hosted repository", tags=("CWE-862", "LLM06")),
     Rule("SECRET-READ", "credential_access", "high", "qualified", 10, patterns=_words("get_secret read_secret get_parameter get_secret_value read_secret_data"), description="reads credentials", tags=("CWE-200", "LLM06")),
+    # TypeScript and JavaScript
+    Rule("PAY-STRIPE-REFUND", "payments", "high", "qualified", patterns=tuple("stripe." + p for p in _words("charges.create charges.refund payouts.create refunds.create transfers.create paymentIntents.cancel paymentIntents.create paymentIntents.capture")), description="moves money", language="typescript"),
+    Rule("PAY-GENERIC-REFUND", "payments", "high", "name", patterns=_words("refund issueRefund createCharge createRefund processRefund"), description="moves money", language="typescript"),
+    Rule("EXEC-SHELL", "shell_execution", "high", "qualified", 19, patterns=_words("execSync spawnSync execFileSync cp.exec cp.spawn child_process.exec child_process.spawn child_process.execSync child_process.spawnSync"), description="executes a command", tags=("CWE-78", "LLM06"), language="typescript"),
+    Rule("EXEC-SHELL", "shell_execution", "high", "name", 19, patterns=_words("exec spawn"), description="executes a command", tags=("CWE-78", "LLM06"), language="typescript"),
+    Rule("DATA-DELETE-FILE", "file_mutation", "high", "qualified", patterns=("rimraf", *("fs." + p for p in _words("rm rmdir rmSync unlink rmdirSync unlinkSync promises.rm promises.rmdir promises.unlink"))), description="destroys data", language="typescript"),
+    Rule("FILE-WRITE", "file_mutation", "medium", "qualified", patterns=tuple("fs." + p for p in _words("writeFile appendFile writeFileSync appendFileSync promises.writeFile promises.appendFile")), description="changes files", tags=("CWE-73", "LLM06"), language="typescript"),
+    Rule("DATA-DELETE-SQL", "data_destruction", "high", "qualified", patterns=_words("db.run db.query knex.del db.execute knex.delete cursor.execute mongoose.remove prisma.deleteMany prisma.$executeRaw connection.execute mongoose.deleteMany"), description="destroys data", language="typescript"),
+    Rule("PROVIDER-SDK-CALL", "provider_sdk", "high", "qualified", patterns=(*(p + "Command" for p in _words("DeleteStack DeleteTable DeleteBucket DeleteObject DeleteObjects DeleteFunction StopInstances DeleteDBInstance TerminateInstances")), *_words("s3.deleteBucket s3.deleteObject s3.deleteObjects rds.deleteDBInstance dynamodb.deleteTable lambda.deleteFunction ec2.terminateInstances")), description="acts through a cloud provider", language="typescript"),
+    Rule("NET-EGRESS", "network_egress", "medium", "qualified", 21, patterns=_words("got.put got.post got.delete axios.put axios.post axios.patch axios.delete self.fetch http.request window.fetch https.request globalThis.fetch"), description="sends data out", tags=("CWE-918", "LLM06"), language="typescript"),
+    Rule("NET-EGRESS", "network_egress", "medium", "name", 21, patterns=("fetch",), description="sends data out", tags=("CWE-918", "LLM06"), language="typescript"),
+    # Go
+    Rule("EXEC-SHELL-GO", "shell_execution", "high", "qualified", patterns=_words("syscall.Exec exec.Command syscall.ForkExec exec.CommandContext"), description="executes a command", tags=("CWE-78", "LLM06"), language="go"),
+    Rule("DATA-DELETE-OS-GO", "data_destruction", "high", "qualified", patterns=_words("os.Remove os.Truncate os.RemoveAll syscall.Rmdir syscall.Unlink"), description="destroys data", language="go"),
+    Rule("FILE-WRITE-GO", "file_mutation", "medium", "qualified", patterns=_words("os.Create os.Rename os.MkdirAll os.OpenFile os.WriteFile"), description="changes files", tags=("CWE-73", "LLM06"), language="go"),
+    Rule("NET-EGRESS-GO", "network_egress", "medium", "qualified", patterns=_words("http.Get http.Post http.PostForm http.NewRequest"), description="sends data out", tags=("CWE-918", "LLM06"), language="go"),
+    Rule("DATA-DELETE-SQL-GO", "data_destruction", "high", "sql", patterns=(r"\bDELETE\s+FROM\b", r"\bDROP\s+(TABLE|DATABASE)\b", r"\bTRUNCATE\b"), modules=_words("conn database db pool sqlDB stmt tx"), description="destroys data", language="go"),
+    Rule("PAY-STRIPE-REFUND-GO", "payments", "high", "attr", patterns=_words("New Charge Payout Refund Capture Transfer IssueRefund CreateRefund ProcessRefund"), modules=_words("stripe charges payouts refunds transfers"), description="moves money", language="go"),
+    Rule("PAY-GENERIC-REFUND-GO", "payments", "high", "attr", patterns=_words("Charge Payout Refund Capture Transfer IssueRefund CreateCharge CreateRefund ProcessRefund"), modules=_words("pay adyen charge paypal payout refund square stripe billing charges payment payouts refunds payments razorpay transfer braintree transfers"), description="moves money", language="go"),
+    Rule("SECRET-READ-GO", "credential_access", "high", "attr", patterns=_words("GetSecret ReadSecret GetParameter GetSecretValue ReadSecretData GetSecretString"), modules=_words("kv sm ssm svc vault client secret secrets service keyVault keyvault secretClient secretsClient parameterStore parameterstore secretsmanager"), description="reads credentials", tags=("CWE-200", "LLM06"), language="go"),
+    Rule("PROVIDER-SDK-CALL-GO", "provider_sdk", "medium", "attr", patterns=(*("Delete" + p for p in _words("Blob File Item Repo Role User Queue Stack Table Topic Bucket Object Policy Objects Function Instance AccessKey DBCluster DBInstance")), *_words("StopInstances TerminateInstances")), modules=_words("gh s3 ec2 iam rds sns sqs svc repo client lambda compute storage dynamodb cloudformation"), description="acts through a cloud provider", language="go"),
 )
 
 TOOL_DECORATORS = _words("Tool StructuredTool FunctionTool tool mcp.tool app.tool server.tool Agent.tool agent.tool fast.tool structured_tool call_tool langchain_tool function_tool register_for_llm agent.tool_plain kernel_function register_function register_for_execution")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from reachlight.functions.braces import extract_braces
 from reachlight.functions.extract import EMPTY, FACTS, extract
 from reachlight.operators import findings as f
 from reachlight.operators.guards import checked
@@ -40,11 +41,11 @@ def _ddl() -> str:
     for c in FACTS:
         depth += (c == "<") - (c == ">")
         out.append(" " if c == ":" and not depth else c)
-    return "repo string, path string, sha256 string, error string, " + "".join(out)
+    return "repo string, path string, language string, sha256 string, error string, " + "".join(out)
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """One row for each Python file. A file that can't be read, decoded or parsed has its error and no facts."""
+    """One row for each file in a language of tree.ANALYSED. A file that can't be read, decoded or parsed has its error and no facts."""
     schema = _ddl()
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
@@ -52,9 +53,9 @@ def facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 rows = batch.slice(start, 64).to_pylist()
-                yield pa.RecordBatch.from_pylist([{"repo": r["repo"], "path": r["path"], "sha256": r["sha256"]} | (EMPTY | {"error": r["error"]} if r["error"] else extract(r["source"])) for r in rows], schema=arrow)
+                yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("repo", "path", "language", "sha256")} | (EMPTY | {"error": r["error"]} if r["error"] else extract(r["source"]) if r["language"] == "python" else extract_braces(r["source"], r["language"])) for r in rows], schema=arrow)
 
-    return files.where("language = 'python'").select("repo", "path", "source", "sha256", "error").mapInArrow(run, schema)
+    return files.where(F.col("language").isin(*tree.ANALYSED)).select("repo", "path", "language", "source", "sha256", "error").mapInArrow(run, schema)
 
 
 def scan(files: DataFrame, rules: Sequence[Rule] = catalogue.RULES, guards: Sequence[str] = catalogue.GUARDS, baseline: DataFrame | None = None, module_level: bool = False, known: DataFrame | None = None, store: str | None = None) -> Scan:
@@ -78,7 +79,7 @@ def scan(files: DataFrame, rules: Sequence[Rule] = catalogue.RULES, guards: Sequ
     found = reached(sinks(got, rules), got, module_level)
     found = f.without_cleanup(found, got, files, rules)
     caps = f.capabilities(checked(found, got, guards), files, rules)
-    errors = got.where("error != ''").select("repo", "path", "error").unionByName(files.where("error != '' AND language != 'python'").select("repo", "path", "error"))
+    errors = got.where("error != ''").select("repo", "path", "error").unionByName(files.where((F.col("error") != "") & ~F.col("language").isin(*tree.ANALYSED)).select("repo", "path", "error"))
     return Scan(files, got, caps.drop("fn"), f.findings(caps, got, tree.suppressions(files), baseline), errors, tree.unsupported(files))
 
 
@@ -86,6 +87,6 @@ def repositories(s: Scan) -> DataFrame:
     """Per repository: files scanned, errors, findings, and maps of findings by rule and by severity."""
     shown = s.findings.where("NOT suppressed")
     counts = lambda c: shown.groupBy("repo", c).agg(F.count("*").alias("n")).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))
-    base = s.files.groupBy("repo").agg(F.count_if(F.col("language") == "python").alias("files_scanned"))
+    base = s.files.groupBy("repo").agg(F.count_if(F.col("language").isin(*tree.ANALYSED)).alias("files_scanned"))
     out = base.join(s.errors.groupBy("repo").agg(F.count("*").alias("errors")), "repo", "left").join(shown.groupBy("repo").agg(F.count("*").alias("findings")), "repo", "left")
     return out.join(counts("rule_id"), "repo", "left").join(counts("effective_severity"), "repo", "left").fillna(0, ["errors", "findings"])

@@ -22,8 +22,8 @@ LANGUAGES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "typescript", ".jsx": "typescript", ".mjs": "typescript", ".cjs": "typescript", ".go": "go",
     ".java": "java", ".kt": "kotlin", ".rb": "ruby", ".rs": "rust", ".php": "php", ".cs": "csharp", ".swift": "swift", ".scala": "scala", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".lua": "lua", ".dart": "dart", ".ex": "elixir", ".pl": "perl", ".r": "r", ".jl": "julia", ".sh": "shell", ".ps1": "powershell",
 }
-ANALYSED = ("python",)
-TESTS = ("**/test_*.py", "**/*_test.py", "**/tests/**", "**/test/**", "**/conftest.py")
+ANALYSED = ("go", "python", "typescript")
+TESTS = ("**/*_test.go", "**/*.spec.*", "**/*.test.*", "**/__tests__/**", "**/test_*.py", "**/*_test.py", "**/tests/**", "**/test/**", "**/conftest.py")
 EXAMPLES = "benchmark benchmarks cookbook demo demos doc docs documentation docs_src doc_src example examples recipes sample samples tutorial tutorials".split()
 
 
@@ -116,5 +116,5 @@ def unsupported(files: DataFrame) -> DataFrame:
 def suppressions(files: DataFrame) -> DataFrame:
     """(repo, path, rule_id) of comments # reachlight: ignore[RULE] or # reachlight: ignore RULE. They hold for the whole file."""
     lines = files.where(F.col("source").contains("reachlight: ignore")).select("repo", "path", F.explode(F.split("source", "\n")).alias("line"))
-    rules = F.regexp_extract("line", r"#\s*reachlight:\s*ignore[\[ ]\s*([A-Za-z0-9_, -]+)", 1)
+    rules = F.regexp_extract("line", r"(?:#|//)\s*reachlight:\s*ignore[\[ ]\s*([A-Za-z0-9_, -]+)", 1)
     return lines.select("repo", "path", F.explode(F.split(rules, r"\s*,\s*")).alias("rule_id")).select("repo", "path", F.trim("rule_id").alias("rule_id")).where("rule_id != ''").distinct()
