@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -96,8 +98,28 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: compressed, unlike a checkpoint."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/reachlight-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # what was shuffled on the way is needed no more; its files go when the driver has collected its garbage
+    for _ in range(3):  # Python lets go of plans, then the driver's JVM of what they held, then the cleaner of files
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return spark.read.schema(schema).parquet(path)
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows with a key, those whose keys' hashes are least.
+
+    A threshold on the hash leaves about twice as many before they are sorted, so that what all tasks send doesn't
+    grow with their number. Rows without a key are left out; ties go by the key.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    n, place = rows.select(key).count(), F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    if n > 4 * most:
+        rows = rows.where(place < int((1 << 30) * 2.0 * most / n))
+    return rows.orderBy(place, key).limit(most)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

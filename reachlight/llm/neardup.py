@@ -1,9 +1,13 @@
-"""Near duplicates: all pairs whose n-gram sets have a Jaccard similarity of at least a threshold, found exactly.
+"""Near duplicates: all pairs whose n-gram sets have a Jaccard similarity of at least a threshold.
 
-The universe of n-grams is hashed into segments, more of them in bands of larger sets. Two sets of s <= t n-grams
-that are similar enough differ in at most H(s, t) n-grams, so of any H + 1 segments of the larger set one at least is
-the same in both (or, counted twice, differs by one n-gram only). Smaller sets are indexed by all their segments;
-larger ones look up the H + 1 units that are cheapest by the n-grams' frequencies. Candidates are verified exactly.
+The universe of n-grams is hashed into segments, by bands of set sizes. Two sets of s <= t n-grams that are similar
+enough differ in at most H(s, t) n-grams, so of any H + 1 segments of the larger set one at least is the same in both
+(or, counted twice, differs by one n-gram only). Smaller sets are indexed by all their segments; larger ones look up
+the H + 1 units that are cheapest by the n-grams' frequencies. Candidates are verified exactly.
+
+In bands from LARGE on, H + 1 is far more than a similar pair needs: a fixed number of segments, the same for all sets
+of the band, is looked at. A pair of just the least similarity has each nonempty segment in common with a chance of
+0.3 or more, so that all ASKED units miss it with a chance of below 1e-3, and more similar pairs far more seldom.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from reachlight.llm import frame
 from reachlight.llm.words import Words, grams, mix
 
 #: Words in an n-gram, and the least similarity.
-N, THRESHOLD = 1, 0.75
+N, THRESHOLD = 2, 0.6
 #: Sets whose band ends below SMALL have each n-gram as a segment of its own; others so many n-grams in a segment on average.
-SMALL, LOAD, LOAD_LARGE, LARGE = 32, 1.0, 2.0, 256
+SMALL, LOAD, LOAD_LARGE, LARGE = 16, 0.5, 2.0, 64
+#: From LARGE on so many segments are used, and so many units are looked up.
+USED, ASKED = 64, 20
 #: One of so many segments is indexed with its one-deletion neighbourhood as well.
 NEIGHBOURHOOD = 16
 #: Places of the table of n-gram frequencies, 2 ** BITS, and what a row costs beside the frequency of what it looks up.
@@ -51,6 +57,9 @@ class Plan:
         end = self.ends[band]
         return 0 if end < SMALL else ceil(end / (LOAD if end < LARGE else LOAD_LARGE))
 
+    def sampled(self, band: int) -> bool:
+        return self.ends[band] >= max(LARGE, SMALL)
+
     def least(self, size: int) -> int:
         """The smallest partner of a set, itself no larger than it."""
         return ceil(self.threshold * size - 1e-9)
@@ -69,8 +78,8 @@ class Plan:
 class Cut:
     """A set's segments in the partition of one band: places, contents' hashes and sizes."""
 
-    def __init__(self, tokens: np.ndarray, band: int, m: int):
-        self.m, self.band = m, band
+    def __init__(self, tokens: np.ndarray, band: int, plan: Plan):
+        self.m = m = plan.segments(band)
         if not m:
             self.tokens = tokens
             self.first = np.arange(len(tokens))
@@ -79,6 +88,8 @@ class Cut:
             self.salt = mix(np.full(len(tokens), band * 2 + 1, np.uint64))
         else:
             where = (mix(tokens + np.uint64(band * 2 + 1)) % np.uint64(m)).astype(np.int64)
+            if plan.sampled(band) and m > USED:
+                tokens, where, self.m = tokens[where < USED], where[where < USED], USED
             order = np.argsort(where, kind="stable")
             self.tokens, where = tokens[order], where[order]
             self.first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
@@ -119,6 +130,17 @@ def sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
         yield np.unique(h)
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """A set in five bytes for each n-gram, the high 40 bits of its hash."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def special(band: int) -> int:
     """The signature that joins all of a band, for sets that can't look up enough segments in it."""
     return int(_signed(mix(np.array([band], np.uint64) + np.uint64(1 << 40)))[0])
@@ -141,7 +163,7 @@ def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
                     blocks.append(mix(tokens[:-1] + tokens[1:] * np.uint64(3)).min() if len(tokens) > 1 else tokens[0])
                     band = plan.band(len(tokens))
                     for b in (band, band - 1):
-                        if b and plan.segments(b) and (h := plan.differing(len(tokens), b)) >= 0 and Cut(tokens, b, plan.segments(b)).units() < h + 1:
+                        if b and plan.segments(b) and not plan.sampled(b) and (h := plan.differing(len(tokens), b)) >= 0 and Cut(tokens, b, plan).units() < h + 1:
                             poor.add(b)
                 yield pa.record_batch([pa.array(np.ones(len(keys), np.int32)), pa.array(keys, pa.int64()), pa.array(_signed(np.array(blocks, np.uint64)))], ["kind", "key", "value"])
         at = np.flatnonzero(counts)
@@ -168,7 +190,11 @@ def rows_of(doc: int, tokens: np.ndarray, plan: Plan, counts: np.ndarray, poor:
         own, need = b == band, plan.differing(size, b) + 1
         if not own and need <= 0:
             continue
-        cut = Cut(tokens, b, plan.segments(b))
+        if plan.sampled(b):
+            need = min(need, ASKED)
+        cut = Cut(tokens, b, plan)
+        if not len(cut.first):
+            continue
         rare = counts[(cut.tokens >> np.uint64(64 - BITS)).astype(np.int64)]
         cost = np.minimum.reduceat(rare, cut.first) + ROW_COST
         # a second unit of a segment costs its one-deletion neighbourhood
@@ -281,16 +307,19 @@ def verified(texts: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, thre
     Copies are mostly in the same block, so that a set is sent to few places however many partners it has.
     """
     placed = pairs.join(blocks.groupBy("a").agg(F.min("block").alias("block")), "a")
-    need = placed.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
-    wanted = need.select(F.col("doc").alias("doc_id")).distinct()
-    found = texts.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "doc_id", "left_semi")
+    need = frame.stored(placed.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks")))
+    # one row for each document that is in a pair; a small table is sent to the texts, else both are shuffled
+    found = texts.join(F.broadcast(need) if need.count() <= SENT else need, "doc_id").select("doc_id", "text", "blocks")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in frame.steps(batch, 1):
-                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets(part.column(1).to_pylist(), n)], pa.binary())], ["doc", "grams"])
+                packed = pa.array([pack(s) for s in sets(part.column(1).to_pylist(), n)], pa.binary())
+                blocks = part.column(2)
+                row = pa.array(np.repeat(np.arange(len(packed)), np.diff(blocks.offsets.to_numpy())))
+                yield pa.record_batch([blocks.flatten(), part.column(0).take(row), packed.take(row)], ["block", "a", "grams"])
 
-    held = found.mapInArrow(make, "doc long, grams binary").join(need, "doc").select("block", F.lit(None).cast("long").alias("b"), F.col("doc").alias("a"), "grams")
+    held = found.mapInArrow(make, "block long, a long, grams binary").select("block", F.lit(None).cast("long").alias("b"), "a", "grams")
     asked = placed.select("block", "b", "a", F.lit(None).cast("binary").alias("grams"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +349,7 @@ def verified(texts: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, thre
 def _compared(own: dict[int, set[bytes]], pairs: np.ndarray, threshold: float) -> pa.RecordBatch:
     docs = np.unique(pairs)
     # rows that share a doc_id but not their text are compared one by one
-    rows = [(d, np.frombuffer(g, np.uint64)) for d in docs.tolist() for g in own[d]]
+    rows = [(d, unpack(g)) for d in docs.tolist() for g in own[d]]
     owner = np.array([d for d, _ in rows])
     first = np.searchsorted(owner, docs)
     last = np.searchsorted(owner, docs, "right")
@@ -357,7 +386,9 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of documents whose n-gram sets are at least so similar.
 
     Whole texts are compared, and every document is looked up; there is no limit on partners. N-grams are of
-    lower-cased words, told apart by 64-bit hashes. Null ids, null texts and texts without words are in no pair. Rows
+    lower-cased words, told apart by 40 bits of their hashes when pairs are
+    verified. Pairs of sets below LARGE are found for certain, of others all but
+    a few in 10,000 at the least similarity. Null ids, null texts and texts without words are in no pair. Rows
     that repeat a doc_id are one document: it isn't paired with itself, and of different texts the most similar
     counts. An empty table gives no rows; other columns aren't read.
     """
