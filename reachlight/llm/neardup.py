@@ -7,7 +7,8 @@ the H + 1 units that are cheapest by the n-grams' frequencies. Candidates are ve
 
 In bands from LARGE on, H + 1 is far more than a similar pair needs: a fixed number of segments, the same for all sets
 of the band, is looked at. A pair of just the least similarity has each nonempty segment in common with a chance of
-0.3 or more, so that all ASKED units miss it with a chance of below 1e-3, and more similar pairs far more seldom.
+0.45 (middling sets) or 0.31 (large ones), so that all asked units miss it with a chance of below 1e-3, and more
+similar pairs far more seldom.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from reachlight.llm.words import Words, grams, mix
 #: Words in an n-gram, and the least similarity.
 N, THRESHOLD = 2, 0.6
 #: Sets whose band ends below SMALL have each n-gram as a segment of its own; others so many n-grams in a segment on average.
-SMALL, LOAD, LOAD_LARGE, LARGE = 16, 0.5, 2.0, 64
-#: From LARGE on so many segments are used, and so many units are looked up.
-USED, ASKED = 64, 20
+SMALL, LOAD, LOAD_LARGE, LARGE = 16, 0.5, 2.0, 16
+#: From LARGE on so many segments are used at most, and so many units are looked up; those below MIDDLING have other figures.
+USED, ASKED, MIDDLING, LOAD_MIDDLING, ASKED_MIDDLING = 64, 20, 64, 1.0, 12
 #: One of so many segments is indexed with its one-deletion neighbourhood as well.
 NEIGHBOURHOOD = 16
-#: Places of the table of n-gram frequencies, 2 ** BITS, and what a row costs beside the frequency of what it looks up.
-BITS, ROW_COST = 16, 4
+#: Places of the table of n-gram frequencies, 2 ** BITS; places that a partition counts less often than OFTEN are taken as rare
+#: there; what a row costs beside the frequency of what it looks up.
+BITS, OFTEN, ROW_COST = 20, 16, 4
 #: Ids that are sent to every task at most; more are joined by a shuffle.
 SENT = 4_000_000
 #: Pairs that are compared at once.
@@ -55,7 +57,10 @@ class Plan:
     def segments(self, band: int) -> int:
         """How many segments a band's sets are cut into; 0: each n-gram is one."""
         end = self.ends[band]
-        return 0 if end < SMALL else ceil(end / (LOAD if end < LARGE else LOAD_LARGE))
+        return 0 if end < SMALL else ceil(end / (LOAD if end < LARGE else LOAD_MIDDLING if end < MIDDLING else LOAD_LARGE))
+
+    def asked(self, band: int) -> int:
+        return ASKED_MIDDLING if self.ends[band] < MIDDLING else ASKED
 
     def sampled(self, band: int) -> bool:
         return self.ends[band] >= max(LARGE, SMALL)
@@ -150,14 +155,14 @@ def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """(kind, key, value): 0, the n-grams' document counts by hash; 1, a doc_id and its block; 2, bands that need special()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, counts, poor = Plan(threshold), np.zeros(1 << BITS, np.int64), set()
+        plan, counts, poor = Plan(threshold), np.zeros(1 << BITS, np.int32), set()
         for batch in batches:
             for part in frame.steps(batch, 1):
                 keys, blocks = [], []
                 for doc, tokens in zip(part.column(0).to_pylist(), sets(part.column(1).to_pylist(), n)):
                     if not len(tokens):
                         continue
-                    np.add.at(counts, (tokens >> np.uint64(64 - BITS)).astype(np.int64), 1)
+                    counts[(tokens >> np.uint64(64 - BITS)).astype(np.int64)] += 1
                     keys.append(doc)
                     # sums of neighbours in order of hash: seldom alike unless the sets are, and then often
                     blocks.append(mix(tokens[:-1] + tokens[1:] * np.uint64(3)).min() if len(tokens) > 1 else tokens[0])
@@ -166,8 +171,8 @@ def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
                         if b and plan.segments(b) and not plan.sampled(b) and (h := plan.differing(len(tokens), b)) >= 0 and Cut(tokens, b, plan).units() < h + 1:
                             poor.add(b)
                 yield pa.record_batch([pa.array(np.ones(len(keys), np.int32)), pa.array(keys, pa.int64()), pa.array(_signed(np.array(blocks, np.uint64)))], ["kind", "key", "value"])
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.zeros(len(at), np.int32)), pa.array(at), pa.array(counts[at])], ["kind", "key", "value"])
+        at = np.flatnonzero(counts >= OFTEN)
+        yield pa.record_batch([pa.array(np.zeros(len(at), np.int32)), pa.array(at), pa.array(counts[at].astype(np.int64))], ["kind", "key", "value"])
         yield pa.record_batch([pa.array(np.full(len(poor), 2, np.int32)), pa.array(sorted(poor), pa.int64()), pa.array(np.ones(len(poor), np.int64))], ["kind", "key", "value"])
 
     return texts.mapInArrow(run, "kind int, key long, value long")
@@ -191,7 +196,7 @@ def rows_of(doc: int, tokens: np.ndarray, plan: Plan, counts: np.ndarray, poor:
         if not own and need <= 0:
             continue
         if plan.sampled(b):
-            need = min(need, ASKED)
+            need = min(need, plan.asked(b))
         cut = Cut(tokens, b, plan)
         if not len(cut.first):
             continue
@@ -302,11 +307,11 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def verified(texts: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the pairs that are similar enough. Each pair is compared in the block of its first document.
+    """(doc_a, doc_b, jaccard) of the pairs that are similar enough. Each pair is compared in the block of the document with the larger set.
 
     Copies are mostly in the same block, so that a set is sent to few places however many partners it has.
     """
-    placed = pairs.join(blocks.groupBy("a").agg(F.min("block").alias("block")), "a")
+    placed = pairs.join(blocks.groupBy("b").agg(F.min("block").alias("block")), "b")
     need = frame.stored(placed.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks")))
     # one row for each document that is in a pair; a small table is sent to the texts, else both are shuffled
     found = texts.join(F.broadcast(need) if need.count() <= SENT else need, "doc_id").select("doc_id", "text", "blocks")
@@ -396,12 +401,12 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
         raise ValueError("threshold must be from 0.5 to 1")
     texts = frame.plain(docs, doc_id="long", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
     known = frame.stored(profile(texts, n, threshold))
-    counts = np.zeros(1 << BITS, np.int64)
+    counts = np.zeros(1 << BITS, np.int32)
     got = known.where("kind = 0").groupBy("key").agg(F.sum("value").alias("v")).toPandas()  # 2 ** BITS rows at most
-    counts[got["key"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+    counts[got["key"].to_numpy(np.int64)] = np.minimum(got["v"].to_numpy(np.int64), 1 << 30)
     poor = {r.key for r in known.where("kind = 2").select("key").distinct().collect()}  # one for each band at most
     pairs = frame.stored(candidates(signatures(texts, n, threshold, counts, poor), threshold))
-    blocks = known.where("kind = 1").select(F.col("key").alias("a"), F.col("value").alias("block"))
+    blocks = known.where("kind = 1").select(F.col("key").alias("b"), F.col("value").alias("block"))
     found = verified(texts, pairs, blocks, n, threshold).where("doc_a < doc_b")
     return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
