@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reachlight.llm import frame
 
@@ -328,6 +327,31 @@ def reconcile(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, in
     return out[::-1]
 
 
+#: What a span of each kind grows over to its left and right: it doesn't end within a word or number of its own.
+GROWS = {"email": (r"[\w.+-]", r"[\w-]|\.(?=\w)"), "secret": (r"[A-Za-z0-9_-]", r"[A-Za-z0-9_-]")}
+DIGIT = re.compile("[0-9]")
+
+
+def grown(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Disjoint spans, each to the edges of its word or number, though not into the next."""
+    out, at = [], 0
+    for i, (b, e, k) in enumerate(spans):
+        left, right = _edges(KINDS[k])
+        stop = spans[i + 1][0] if i + 1 < len(spans) else len(text)
+        while b > at and left.match(text, b - 1):
+            b -= 1
+        while e < stop and right.match(text, e):
+            e += 1
+        out.append((b, e, k))
+        at = e
+    return out
+
+
+def _edges(kind: str) -> tuple[re.Pattern, re.Pattern]:
+    left, right = GROWS.get(kind, (DIGIT, DIGIT))
+    return re.compile(left), re.compile(right)
+
+
 def find(texts: list[str | None], m: dict) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (begin, end, kind) in characters."""
     windows, places = [], []
@@ -349,7 +373,7 @@ def find(texts: list[str | None], m: dict) -> list[list[tuple[int, int, int]]]:
             i, at, n = places[b + w]
             if (end := min(at + end, n)) > at + begin:
                 found[i].append((at + begin, end, kind, at, min(at + WINDOW, n) if at + WINDOW < n else n + WINDOW))
-    return [[s for s in reconcile(f) if MARK.search(texts[i], s[0], s[1])] if f else [] for i, f in enumerate(found)]
+    return [grown(texts[i], [s for s in reconcile(f) if MARK.search(texts[i], s[0], s[1])]) if f else [] for i, f in enumerate(found)]
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -363,7 +387,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """A model whose training windows are cut from at most ``sample`` texts, chosen by a hash of doc_id; labelled spans are set into them."""
     rows = frame.plain(docs, doc_id="long", text="string").where("text IS NOT NULL AND text != ''")
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas().sort_values(["doc_id", "text"])
+    few = frame.sampled(rows, "doc_id", sample).toPandas().sort_values(["doc_id", "text"])
     return fit(few["text"].tolist())
 
 
