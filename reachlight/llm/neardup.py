@@ -37,8 +37,8 @@ NEIGHBOURHOOD = 16
 BITS, OFTEN, ROW_COST = 20, 16, 4
 #: Ids that are sent to every task at most; more are joined by a shuffle.
 SENT = 4_000_000
-#: Pairs that are compared at once.
-BLOCK = 1 << 20
+#: Pairs that are looked at at once, and pairs of one label that are compared in one block at most.
+BLOCK, SPLIT = 1 << 20, 1_000_000
 
 INDEX, PROBE, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8
 
@@ -152,25 +152,20 @@ def special(band: int) -> int:
 
 
 def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(kind, key, value): 0, the n-grams' document counts by hash; 1, a doc_id and its block; 2, bands that need special()."""
+    """(kind, key, value): 0, the n-grams' document counts by hash; 2, bands that need special()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, counts, poor = Plan(threshold), np.zeros(1 << BITS, np.int32), set()
         for batch in batches:
             for part in frame.steps(batch, 1):
-                keys, blocks = [], []
-                for doc, tokens in zip(part.column(0).to_pylist(), sets(part.column(1).to_pylist(), n)):
+                for tokens in sets(part.column(1).to_pylist(), n):
                     if not len(tokens):
                         continue
                     counts[(tokens >> np.uint64(64 - BITS)).astype(np.int64)] += 1
-                    keys.append(doc)
-                    # sums of neighbours in order of hash: seldom alike unless the sets are, and then often
-                    blocks.append(mix(tokens[:-1] + tokens[1:] * np.uint64(3)).min() if len(tokens) > 1 else tokens[0])
                     band = plan.band(len(tokens))
                     for b in (band, band - 1):
                         if b and plan.segments(b) and not plan.sampled(b) and (h := plan.differing(len(tokens), b)) >= 0 and Cut(tokens, b, plan).units() < h + 1:
                             poor.add(b)
-                yield pa.record_batch([pa.array(np.ones(len(keys), np.int32)), pa.array(keys, pa.int64()), pa.array(_signed(np.array(blocks, np.uint64)))], ["kind", "key", "value"])
         at = np.flatnonzero(counts >= OFTEN)
         yield pa.record_batch([pa.array(np.zeros(len(at), np.int32)), pa.array(at), pa.array(counts[at].astype(np.int64))], ["kind", "key", "value"])
         yield pa.record_batch([pa.array(np.full(len(poor), 2, np.int32)), pa.array(sorted(poor), pa.int64()), pa.array(np.ones(len(poor), np.int64))], ["kind", "key", "value"])
@@ -306,13 +301,26 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(texts: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the pairs that are similar enough. Each pair is compared in the block of the document with the larger set.
+def placed(pairs: DataFrame) -> DataFrame:
+    """(block, a, b): each pair with the block that it is compared in.
 
-    Copies are mostly in the same block, so that a set is sent to few places however many partners it has.
+    A document's label is its least partner's least partner, so that nearly all of a group of copies have one label
+    and a set is sent to few places, however many partners it has. Labels of very many pairs are split by b.
     """
-    placed = pairs.join(blocks.groupBy("b").agg(F.min("block").alias("block")), "b")
-    need = frame.stored(placed.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks")))
+    least = pairs.select(F.col("a").alias("doc"), F.col("b").alias("to")).union(pairs.select("b", "a")).groupBy("doc").agg(F.least(F.col("doc"), F.min("to")).alias("label"))
+    first = frame.stored(least)
+    second = first.join(first.select(F.col("doc").alias("label"), F.col("label").alias("far")), "label").select(F.col("doc").alias("b"), F.col("far").alias("label"))
+    labelled = frame.stored(pairs.join(second, "b"))
+    many = labelled.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+    parts = F.coalesce(F.ceil(F.col("n") / SPLIT), F.lit(1).cast("long"))
+    split = labelled.join(F.broadcast(many) if many.count() <= SENT else many, "label", "left")
+    return split.select(F.xxhash64("label", F.pmod(F.xxhash64("b"), parts)).alias("block"), "a", "b")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of the pairs that are similar enough, compared by their whole sets, block by block."""
+    pairs = frame.stored(placed(pairs))
+    need = frame.stored(pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks")))
     # one row for each document that is in a pair; a small table is sent to the texts, else both are shuffled
     found = texts.join(F.broadcast(need) if need.count() <= SENT else need, "doc_id").select("doc_id", "text", "blocks")
 
@@ -325,7 +333,7 @@ def verified(texts: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, thre
                 yield pa.record_batch([blocks.flatten(), part.column(0).take(row), packed.take(row)], ["block", "a", "grams"])
 
     held = found.mapInArrow(make, "block long, a long, grams binary").select("block", F.lit(None).cast("long").alias("b"), "a", "grams")
-    asked = placed.select("block", "b", "a", F.lit(None).cast("binary").alias("grams"))
+    asked = pairs.select("block", "b", "a", F.lit(None).cast("binary").alias("grams"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own, todo = None, {}, []
@@ -406,8 +414,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     counts[got["key"].to_numpy(np.int64)] = np.minimum(got["v"].to_numpy(np.int64), 1 << 30)
     poor = {r.key for r in known.where("kind = 2").select("key").distinct().collect()}  # one for each band at most
     pairs = frame.stored(candidates(signatures(texts, n, threshold, counts, poor), threshold))
-    blocks = known.where("kind = 1").select(F.col("key").alias("b"), F.col("value").alias("block"))
-    found = verified(texts, pairs, blocks, n, threshold).where("doc_a < doc_b")
+    found = verified(texts, pairs, n, threshold).where("doc_a < doc_b")
     return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
