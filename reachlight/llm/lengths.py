@@ -87,7 +87,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     truncated = lower row's truncated + (L - lower length) * lower row's docs_over, so the rows answer every limit.
     Empty input gives no rows; null lengths are left out.
     """
-    counts = (
+    # encoded once: both the blocks and the rows below are made of the counts
+    counts = frame.cut(
         lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
         .withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
     )
