@@ -221,7 +221,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> tuple[list[str], n
 def train(docs: DataFrame, sample: int = SAMPLE):
     """A field from at most ``sample`` documents whose lang is known, chosen by a hash of doc_id. Null texts and languages are left out."""
     rows = frame.plain(docs, doc_id="long", text="string", lang="string").where("text IS NOT NULL AND lang IS NOT NULL")
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).toPandas()
+    few = frame.sampled(rows, "doc_id", sample).toPandas()
     few = few.sort_values(["doc_id", "text"])
     return fit(few["text"].tolist(), few["lang"].tolist())
 

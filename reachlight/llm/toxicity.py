@@ -121,10 +121,10 @@ def probabilities(texts: list[str | None], model: tuple[np.ndarray, np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """A model from at most ``sample`` labelled documents. Null labels, ids and texts are left out; repeated rows count each."""
     rows = frame.plain(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    few = rows.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "toxic").limit(sample)
+    few = frame.sampled(rows, "doc_id", sample)
     texts = frame.plain(docs, doc_id="long", text="string").where("text IS NOT NULL")
     # the sample is of at most ``sample`` rows, whatever the tables hold
-    got = texts.join(F.broadcast(few), "doc_id").select("h", "toxic", "text").toPandas().sort_values(["h", "toxic", "text"])
+    got = texts.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text").toPandas().sort_values(["doc_id", "toxic", "text"])
     return fit(got["text"].tolist(), (got["toxic"] > 0).astype(int).tolist())
 
 
