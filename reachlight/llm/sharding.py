@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reachlight.llm import frame
 
 #: Bytes of text that a shard should hold.
-TARGET = 8 << 20
+TARGET = 64 << 20
 #: Expected sample rows for each shard.
 OVERSAMPLE = 24
 #: A range is overfull from this many times the target on.
