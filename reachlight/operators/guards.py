@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachlight.operators.reachability import functions_of, strings
-from reachlight.operators.sinks import KEY, calls_of, last_part
+from reachlight.operators.sinks import calls_of, last_part
 from reachlight.plans import catalogue
 
 USED = ("Assert", "Assign", "BoolOp", "If", "Raise", "Return", "UnaryOp", "While")
