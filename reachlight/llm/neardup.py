@@ -5,10 +5,11 @@ enough differ in at most H(s, t) n-grams, so of any H + 1 segments of the larger
 (or, counted twice, differs by one n-gram only). Smaller sets are indexed by all their segments; larger ones look up
 the H + 1 units that are cheapest by the n-grams' frequencies. Candidates are verified exactly.
 
-In bands from LARGE on, H + 1 is far more than a similar pair needs: a fixed number of segments, the same for all sets
-of the band, is looked at. A pair of just the least similarity has each nonempty segment in common with a chance of
-0.45 (middling sets) or 0.31 (large ones), so that all asked units miss it with a chance of below 1e-3, and more
-similar pairs far more seldom.
+In bands from LARGE on the same USED segments of all sets, chosen by their place alone, are looked at, and all of
+those that hold two n-grams or more are looked up, however frequent they are: with fewer than H + 1 units a choice by
+frequency would ask first for what an edit made, which can't match. A pair of just the least similarity has each
+place in common, with two n-grams or more, with a chance of 0.125 to 0.16, so that all miss it with a chance of below
+1e-3, and more similar pairs far more seldom.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from reachlight.llm.words import Words, grams, mix
 #: Words in an n-gram, and the least similarity.
 N, THRESHOLD = 2, 0.6
 #: Sets whose band ends below SMALL have each n-gram as a segment of its own; others so many n-grams in a segment on average.
-SMALL, LOAD, LOAD_LARGE, LARGE = 16, 0.5, 2.0, 16
-#: From LARGE on so many segments are used at most, and so many units are looked up; those below MIDDLING have other figures.
-USED, ASKED, MIDDLING, LOAD_MIDDLING, ASKED_MIDDLING = 64, 20, 64, 1.0, 12
+SMALL, LOAD, LOAD_LARGE, LARGE = 16, 0.5, 2.0, 128
+#: From LARGE on so many segments are used at most.
+USED = 64
 #: One of so many segments is indexed with its one-deletion neighbourhood as well.
 NEIGHBOURHOOD = 16
 #: Places of the table of n-gram frequencies, 2 ** BITS; places that a partition counts less often than OFTEN are taken as rare
@@ -57,10 +58,7 @@ class Plan:
     def segments(self, band: int) -> int:
         """How many segments a band's sets are cut into; 0: each n-gram is one."""
         end = self.ends[band]
-        return 0 if end < SMALL else ceil(end / (LOAD if end < LARGE else LOAD_MIDDLING if end < MIDDLING else LOAD_LARGE))
-
-    def asked(self, band: int) -> int:
-        return ASKED_MIDDLING if self.ends[band] < MIDDLING else ASKED
+        return 0 if end < SMALL else ceil(end / (LOAD if end < LARGE else LOAD_LARGE))
 
     def sampled(self, band: int) -> bool:
         return self.ends[band] >= max(LARGE, SMALL)
@@ -103,7 +101,7 @@ class Cut:
             self.salt = mix((self.place.astype(np.uint64) << np.uint64(12)) + np.uint64(band * 2 + 1))
         self.parts = mix(self.tokens ^ np.uint64(0x5BD1E995))
         self.content = np.add.reduceat(self.parts, self.first) if len(self.first) else np.zeros(0, np.uint64)
-        self.deep = (self.size > 1) & (self.place % NEIGHBOURHOOD == 0) if m else np.zeros(len(self.first), bool)
+        self.deep = (self.size > 1) & (self.place % NEIGHBOURHOOD == 0) if m and not plan.sampled(band) else np.zeros(len(self.first), bool)
 
     def signatures(self) -> np.ndarray:
         return mix(self.content + self.salt)
@@ -190,8 +188,6 @@ def rows_of(doc: int, tokens: np.ndarray, plan: Plan, counts: np.ndarray, poor:
         own, need = b == band, plan.differing(size, b) + 1
         if not own and need <= 0:
             continue
-        if plan.sampled(b):
-            need = min(need, plan.asked(b))
         cut = Cut(tokens, b, plan)
         if not len(cut.first):
             continue
@@ -201,7 +197,9 @@ def rows_of(doc: int, tokens: np.ndarray, plan: Plan, counts: np.ndarray, poor:
         deep = np.flatnonzero(cut.deep)
         offers = np.concatenate([cost, cost[deep] * cut.size[deep]])
         take = np.zeros(len(offers), bool)
-        if need >= len(offers):
+        if plan.sampled(b):
+            take[:] = cut.size > 1
+        elif need >= len(offers):
             take[:] = True
         elif need > 0:
             take[np.argpartition(offers, need - 1)[:need]] = True
@@ -400,8 +398,8 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
 
     Whole texts are compared, and every document is looked up; there is no limit on partners. N-grams are of
     lower-cased words, told apart by 40 bits of their hashes when pairs are
-    verified. Pairs of sets below LARGE are found for certain, of others all but
-    a few in 10,000 at the least similarity. Null ids, null texts and texts without words are in no pair. Rows
+    verified. Pairs of sets in bands that end below LARGE are found for certain,
+    of others all but a few in 10,000 at the least similarity. Null ids, null texts and texts without words are in no pair. Rows
     that repeat a doc_id are one document: it isn't paired with itself, and of different texts the most similar
     counts. An empty table gives no rows; other columns aren't read.
     """

@@ -162,6 +162,27 @@ def test_all_pairs_of_invented_sets(spark, monkeypatch):
     assert {(r.doc_a, r.doc_b) for r in neardup.similar(spark.createDataFrame(frame), 1, 0.75).collect()} == want and len(want) > 30
 
 
+def edited_copies(n, words, least, most, seed=12):
+    """Copies of one text; a share of each one's words, from least to most, is replaced by words that no other copy has."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    return [" ".join(w if rng.random() > share else f"v{rng.randrange(10**9)}" for w in base) for share in (rng.uniform(least, most) for _ in range(n))]
+
+
+def similarities(texts, n):
+    own = [set(s.tolist()) for s in neardup.sets(texts, n)]
+    return {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in range(len(own)) for b in range(a + 1, len(own))}
+
+
+@pytest.mark.parametrize("words", [98, 470, 1300])  # near the tops of bands
+def test_edited_copies_in_a_large_group(spark, words):
+    docs = edited_copies(300, words, 0.03, 0.08)
+    want = {k for k, j in similarities(docs, 2).items() if j >= 0.6}
+    got = {(r.doc_a, r.doc_b) for r in neardup.similar(spark.createDataFrame(pd.DataFrame({"doc_id": range(len(docs)), "text": docs})), 2, 0.6).collect()}
+    assert got <= want and len(want) > 10_000
+    assert len(got) == len(want) if words < 100 else len(got) >= 0.999 * len(want)
+
+
 def test_bands_hold_every_similar_size():
     plan = neardup.Plan(0.75)
     for size in range(1, 3000):
