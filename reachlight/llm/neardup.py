@@ -41,7 +41,7 @@ SENT = 4_000_000
 #: Pairs that are looked at at once, and pairs of one label that are compared in one block at most.
 BLOCK, SPLIT = 1 << 20, 1_000_000
 
-INDEX, PROBE, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8
+INDEX, PROBE, INDEX_LESS, PROBE_LESS, BEFORE = 1, 2, 4, 8, 16
 
 
 class Plan:
@@ -172,7 +172,7 @@ def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def rows_of(doc: int, tokens: np.ndarray, plan: Plan, counts: np.ndarray, poor: set[int]) -> list[np.ndarray]:
-    """(signature, doc, size * 256 + flags, fingerprints of the four segments before) rows of one set."""
+    """(signature, doc, size * 256 + flags, signature of the segment before) rows of one set."""
     size, out = len(tokens), []
     band = plan.band(size)
 
@@ -211,18 +211,14 @@ def rows_of(doc: int, tokens: np.ndarray, plan: Plan, counts: np.ndarray, poor:
         if own and b in poor:
             put(np.array([special(b)], np.int64).view(np.uint64), INDEX)
         flags = (INDEX if own else 0) + PROBE * probe
-        before = np.zeros(len(cost), np.int64)
-        mask = np.zeros(len(cost), np.int64)
-        if cut.m:
-            prints, asked = np.zeros(cut.m + 4, np.uint64), np.zeros(cut.m + 4, bool)
-            prints[cut.place + 4] = (cut.content >> np.uint64(48)) | np.uint64(1)
-            asked[cut.place + 4] = probe
-            packed = np.zeros(len(cost), np.uint64)
-            for d in range(1, 5):
-                packed |= prints[cut.place + 4 - d] << np.uint64(16 * (d - 1))
-                mask |= asked[cut.place + 4 - d].astype(np.int64) << (3 + d)
-            before = _signed(packed)
         sig = cut.signatures()
+        # the last segment before that other sets look up as well; 0: none
+        before, mask = np.zeros(len(cost), np.int64), np.zeros(len(cost), np.int64)
+        if cut.m:
+            last = np.maximum.accumulate(np.where(cut.size > 1 if plan.sampled(b) else True, np.arange(len(cost)), -1))
+            last = np.r_[-1, last[:-1]]
+            before[last >= 0] = _signed(sig)[last[last >= 0]]
+            mask[last >= 0] = BEFORE * probe[last[last >= 0]]
         if own:
             put(sig, flags + mask, before)
             put(cut.neighbours(cut.deep), INDEX_LESS)
@@ -265,13 +261,9 @@ def _met(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
         sx, sy = fx >> 8, fy >> 8
         met &= (sy >= threshold * sx - 1e-9) & ((sy < sx) | (sy == sx) & (doc[y] < doc[x]))
         x, y, fx = x[met], y[met], fx[met]
-        # a pair that also meets in one of the four segments before is reported there
-        again = np.zeros(len(x), bool)
-        differ = before[x] ^ before[y]
+        # a pair that also meets in the segment before is reported there; whole signatures are compared, so none is lost
         exact = (fx & PROBE != 0) & (what[y] & INDEX != 0)
-        for d in range(4):
-            again |= (fx >> (4 + d) & 1 != 0) & ((differ >> (16 * d)) & 0xFFFF == 0) & ((before[x] >> (16 * d)) & 0xFFFF != 0)
-        new = ~(again & exact)
+        new = ~(exact & (fx & BEFORE != 0) & (before[x] == before[y]) & (before[x] != 0))
         yield np.stack([doc[y[new]], doc[x[new]]])
 
 

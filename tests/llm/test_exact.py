@@ -194,6 +194,17 @@ def test_bands_hold_every_similar_size():
                 assert plan.differing(size, plan.band(s)) >= s + size - 2 * overlap
 
 
+def test_equal_prints_of_other_segments_lose_no_pair():
+    # two rows of one signature; what lies before differs, but for the first 15 bits of each 16
+    before = np.array([0x1234_1234_1234_1234, 0x1234_1234_1234_1235])
+    flags = neardup.INDEX + neardup.PROBE + 0xF0
+    for other in (before, before[::-1]):
+        rows = np.array([[7, 7], [1, 2], [200 * 256 + flags] * 2, other])
+        assert [p.tolist() for p in neardup._met(rows, 0.6) if p.size] == [[[1], [2]]]
+    rows[3] = before[0]  # the same segment before: reported there
+    assert not any(p.size for p in neardup._met(rows, 0.6))
+
+
 def test_groups(spark):
     rng = random.Random(9)
     edges = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(170)} | {(i, i + 1) for i in range(400, 440)}
