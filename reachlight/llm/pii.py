@@ -18,7 +18,7 @@ TAGS = 1 + 2 * len(KINDS)
 UNITS, WINDOW, STRIDE = 20, 192, 96
 #: Documents whose texts the training windows are cut from at most; windows in a step, their length, steps, first rate.
 SAMPLE, BATCH, LENGTH, STEPS, RATE = 400, 48, 112, 320, 0.012
-#: Every span of every kind holds a digit or an @, so decoded spans without one are discarded; windows without one, that could give no other spans, aren't decoded.
+#: What nearly all spans hold. Words of the training texts that hold one are left out, since they may be unlabelled spans; decoding doesn't look at it.
 MARK = re.compile("[0-9@]")
 
 ALPHABET = 128 + 5
@@ -356,16 +356,15 @@ def find(texts: list[str | None], m: dict) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (begin, end, kind) in characters."""
     windows, places = [], []
     for i, text in enumerate(texts):
-        if not text or not MARK.search(text):
+        if not text:
             continue
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        marks = np.flatnonzero(((codes >= 48) & (codes <= 57)) | (codes == 64)) // STRIDE
         ids = char_ids(codes)
         last = max(0, -(-(len(codes) - WINDOW) // STRIDE))
-        for w in np.unique(np.clip(np.concatenate([marks - 1, marks]), 0, last)):
+        for w in range(last + 1):
             part = ids[w * STRIDE : w * STRIDE + WINDOW]
             windows.append(np.pad(part, (0, WINDOW - len(part)), constant_values=32))
-            places.append((i, int(w) * STRIDE, len(codes)))
+            places.append((i, w * STRIDE, len(codes)))
     found: list[list] = [[] for _ in texts]
     for b in range(0, len(windows), 512):
         tags = decode(m, np.array(windows[b : b + 512]).T).T
@@ -373,7 +372,7 @@ def find(texts: list[str | None], m: dict) -> list[list[tuple[int, int, int]]]:
             i, at, n = places[b + w]
             if (end := min(at + end, n)) > at + begin:
                 found[i].append((at + begin, end, kind, at, min(at + WINDOW, n) if at + WINDOW < n else n + WINDOW))
-    return [grown(texts[i], [s for s in reconcile(f) if MARK.search(texts[i], s[0], s[1])]) if f else [] for i, f in enumerate(found)]
+    return [grown(texts[i], reconcile(f)) if f else [] for i, f in enumerate(found)]
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
