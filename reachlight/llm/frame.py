@@ -1,10 +1,10 @@
-"""Shared plumbing of the text operators: picking columns by position, cutting Arrow batches, shared storage."""
+"""Shared plumbing of the text operators: picking columns by position, cutting Arrow batches, shared storage, sampling."""
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on, whatever the size of an Arrow batch.
 STEP_BYTES = 1 << 21
+#: Bytes of a table that is sent to every task at most; a larger one is joined by a shuffle.
+SENT_BYTES = 64 << 20
 
 
 def position(df: DataFrame, name: str) -> int:
@@ -78,16 +80,31 @@ def steps(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES) -> Iterator[
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset (tests on one machine), a temporary one is set."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, one machine gets a temporary folder and a cluster an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and have.isDefined():
+        folder = have.get()
     if not folder:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="reachlight-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="reachlight-")
+    if not have.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_folder(spark)}/reachlight-{spark.sparkContext.applicationId}"
+
+
+def tidied(spark: SparkSession) -> None:
+    """Deletes all that stored() has written in this application. Results that were made of it can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, checkpointed to the shared folder: later steps don't recompute them when an executor is lost."""
     shared_folder(df.sparkSession)
@@ -97,29 +114,39 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: compressed, unlike a checkpoint."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/reachlight-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    # what was shuffled on the way is needed no more; its files go when the driver has collected its garbage
-    for _ in range(3):  # Python lets go of plans, then the driver's JVM of what they held, then the cleaner of files
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    # what was shuffled on the way is needed no more; its files go when Python and then the driver's JVM let go of the plan
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked to be sent to every task if its rows of about ``row_bytes`` take no more than SENT_BYTES; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(SENT_BYTES // row_bytes + 1).count() * row_bytes <= SENT_BYTES else df
+
+
 def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows with a key, those whose keys' hashes are least.
+    """``most`` rows with a key, or all if there are fewer: those whose whole rows' hashes are least.
 
-    A threshold on the hash leaves about twice as many before they are sorted, so that what all tasks send doesn't
-    grow with their number. Rows without a key are left out; ties go by the key.
+    A threshold on the hash leaves about twice as many before they are sorted, so that what all tasks send doesn't grow
+    with their number. Rows are told apart by all their columns: rows that repeat a key are drawn one by one, and rows
+    that are alike in everything count once. Rows without a key are left out.
     """
     rows = rows.where(F.col(key).isNotNull())
-    n, place = rows.select(key).count(), F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    if n > 4 * most:
-        rows = rows.where(place < int((1 << 30) * 2.0 * most / n))
-    return rows.orderBy(place, key).limit(most)
+    n = rows.count()
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))
+    share = 2.0 * most / max(n, 1)
+    while True:
+        few = rows.where(place < int((1 << 30) * share)) if share < 1 else rows
+        # of rows that are all alike many may lie under the threshold together, or none: it is raised until enough are distinct
+        few = few.dropDuplicates()
+        if share >= 1 or few.limit(most).count() >= most:
+            return few.orderBy(place, *rows.columns).limit(most)
+        share *= 8
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

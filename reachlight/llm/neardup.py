@@ -1,297 +1,215 @@
 """Near duplicates: all pairs whose n-gram sets have a Jaccard similarity of at least a threshold.
 
-The universe of n-grams is hashed into segments, by bands of set sizes. Two sets of s <= t n-grams that are similar
-enough differ in at most H(s, t) n-grams, so of any H + 1 segments of the larger set one at least is the same in both
-(or, counted twice, differs by one n-gram only). Smaller sets are indexed by all their segments; larger ones look up
-the H + 1 units that are cheapest by the n-grams' frequencies. Candidates are verified exactly.
-
-In bands from LARGE on the same USED segments of all sets, chosen by their place alone, are looked at, and all of
-those that hold two n-grams or more are looked up, however frequent they are: with fewer than H + 1 units a choice by
-frequency would ask first for what an edit made, which can't match. A pair of just the least similarity has each
-place in common, with two n-grams or more, with a chance of 0.125 to 0.16, so that all miss it with a chance of below
-1e-3, and more similar pairs far more seldom.
+Identical sets are one set to the search. Sets meet by equal segments of the universe of n-grams (segments.py: by size
+bands, by the pigeonhole rule, with one-deletion neighbourhoods, cheapest look-ups first), candidates are sifted by
+sketches that can't reject a similar pair, and what is left is verified by whole sets. Only at the end are pairs
+expanded to all documents that have the sets.
+
+What is shuffled grows with the n-grams: some ten bytes for each look-up or index row, a sketch of two to four bits for
+each n-gram of a candidate, and each set of a similar pair about once, since pairs are compared in blocks by group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil, floor
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachlight.llm import frame
-from reachlight.llm.words import Words, grams, mix
+from reachlight.llm import blobs, frame
+from reachlight.llm import segments as sg
+from reachlight.llm.words import mix
 
 #: Words in an n-gram, and the least similarity.
 N, THRESHOLD = 2, 0.6
-#: Sets whose band ends below SMALL have each n-gram as a segment of its own; others so many n-grams in a segment on average.
-SMALL, LOAD, LOAD_LARGE, LARGE = 16, 0.5, 2.0, 128
-#: From LARGE on so many segments are used at most.
-USED = 64
-#: One of so many segments is indexed with its one-deletion neighbourhood as well.
-NEIGHBOURHOOD = 16
-#: Places of the table of n-gram frequencies, 2 ** BITS; places that a partition counts less often than OFTEN are taken as rare
-#: there; what a row costs beside the frequency of what it looks up.
-BITS, OFTEN, ROW_COST = 20, 16, 4
-#: Ids that are sent to every task at most; more are joined by a shuffle.
-SENT = 4_000_000
-#: Pairs that are looked at at once, and pairs of one label that are compared in one block at most.
-BLOCK, SPLIT = 1 << 20, 1_000_000
-
-INDEX, PROBE, INDEX_LESS, PROBE_LESS, BEFORE = 1, 2, 4, 8, 16
-
-
-class Plan:
-    """Size bands and segment counts for a threshold."""
-
-    def __init__(self, threshold: float):
-        self.threshold, self.ends = threshold, [0]
-
-    def band(self, size: int) -> int:
-        while self.ends[-1] < size:
-            self.ends.append(max(self.ends[-1] + 1, floor((self.ends[-1] + 1) / self.threshold + 1e-9)))
-        return int(np.searchsorted(self.ends, size))
-
-    def segments(self, band: int) -> int:
-        """How many segments a band's sets are cut into; 0: each n-gram is one."""
-        end = self.ends[band]
-        return 0 if end < SMALL else ceil(end / (LOAD if end < LARGE else LOAD_LARGE))
-
-    def sampled(self, band: int) -> bool:
-        return self.ends[band] >= max(LARGE, SMALL)
-
-    def least(self, size: int) -> int:
-        """The smallest partner of a set, itself no larger than it."""
-        return ceil(self.threshold * size - 1e-9)
-
-    def differing(self, size: int, band: int) -> int:
-        """The most n-grams in which a set of this size and a similar one of the band, no larger, differ; -1: there is none."""
-        top, low = min(size, self.ends[band]), max(self.ends[band - 1] + 1, self.least(size))
-        most = -1
-        for s in range(top, max(low, top - 2) - 1, -1):
-            overlap = ceil(self.threshold / (1 + self.threshold) * (s + size) - 1e-9)
-            if overlap <= s:
-                most = max(most, s + size - 2 * overlap)
-        return most
-
-
-class Cut:
-    """A set's segments in the partition of one band: places, contents' hashes and sizes."""
-
-    def __init__(self, tokens: np.ndarray, band: int, plan: Plan):
-        self.m = m = plan.segments(band)
-        if not m:
-            self.tokens = tokens
-            self.first = np.arange(len(tokens))
-            self.place = self.first
-            self.size = np.ones(len(tokens), np.int64)
-            self.salt = mix(np.full(len(tokens), band * 2 + 1, np.uint64))
-        else:
-            where = (mix(tokens + np.uint64(band * 2 + 1)) % np.uint64(m)).astype(np.int64)
-            if plan.sampled(band) and m > USED:
-                tokens, where, self.m = tokens[where < USED], where[where < USED], USED
-            order = np.argsort(where, kind="stable")
-            self.tokens, where = tokens[order], where[order]
-            self.first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
-            self.place = where[self.first]
-            self.size = np.diff(np.r_[self.first, len(where)])
-            self.salt = mix((self.place.astype(np.uint64) << np.uint64(12)) + np.uint64(band * 2 + 1))
-        self.parts = mix(self.tokens ^ np.uint64(0x5BD1E995))
-        self.content = np.add.reduceat(self.parts, self.first) if len(self.first) else np.zeros(0, np.uint64)
-        self.deep = (self.size > 1) & (self.place % NEIGHBOURHOOD == 0) if m and not plan.sampled(band) else np.zeros(len(self.first), bool)
-
-    def signatures(self) -> np.ndarray:
-        return mix(self.content + self.salt)
-
-    def neighbours(self, chosen: np.ndarray) -> np.ndarray:
-        """Signatures of the chosen segments with any one n-gram left out."""
-        segment = np.repeat(np.arange(len(self.first)), self.size)
-        on = chosen[segment]
-        at = segment[on]
-        return mix(self.content[at] - self.parts[on] + self.salt[at])
-
-    def units(self) -> int:
-        return len(self.first) + int(self.deep.sum())
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
-    """Each text's distinct n-gram hashes, ascending. A text of fewer than n words has one, of all its words."""
-    words = Words(texts)
-    for i in range(len(texts)):
-        own = words.hashes[words.first[i] : words.first[i + 1]]
-        if not len(own):
-            yield own
-            continue
-        h, _ = grams(own, np.array([0, len(own)]), min(n, len(own)))
-        yield np.unique(h)
-
+#: Rows that meet in one step, rows that a task holds before it sends them, documents for each block of candidates.
+GROUP, HELD, DOCS = 1 << 19, 1 << 21, 1 << 13
+#: Bytes of sets in a block in which pairs are compared, and pairs of one label in one block at most.
+BLOCK_BYTES, SPLIT = 1 << 22, 1_000_000
+#: Places of the table of frequencies in a slice, in which it is summed.
+SLICE = 1 << 16
 
-def pack(tokens: np.ndarray) -> bytes:
-    """A set in five bytes for each n-gram, the high 40 bits of its hash."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
 
+def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(kind, id, size, h1, h2, data): 0, a document's size, set hash and sketch; 1, counts of a slice of the table of frequencies; 2, a band with too few segments for a set."""
 
-def unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, counts, poor = sg.Plan(threshold), np.zeros(1 << sg.BITS, np.int32), set()
 
+        def out(kind, ids, size, h1, h2, data) -> pa.RecordBatch:
+            k = len(ids)
+            return pa.record_batch([pa.array(np.full(k, kind, np.int32)), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), data], ["kind", "id", "size", "h1", "h2", "data"])
 
-def special(band: int) -> int:
-    """The signature that joins all of a band, for sets that can't look up enough segments in it."""
-    return int(_signed(mix(np.array([band], np.uint64) + np.uint64(1 << 40)))[0])
+        for batch in batches:
+            for part in frame.steps(batch, 1):
+                tokens, first = sg.sets(part.column(1).to_pylist(), n)
+                counts += np.bincount(sg.place_of(tokens), minlength=1 << sg.BITS).astype(np.int32)
+                poor |= sg.poor_bands(tokens, first, plan)
+                data, at = sg.sketches(tokens, first)
+                sketch = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+                full = out(0, part.column(0), np.diff(first), *sg.set_hashes(tokens, first), sketch)
+                yield full.filter(pa.array(np.diff(first) > 0))
+        slices = [blobs.put(counts[i : i + SLICE]) for i in range(0, 1 << sg.BITS, SLICE)]
+        none = np.zeros(len(slices), np.int64)
+        yield out(1, np.arange(len(slices)), none.astype(np.int32), none, none, pa.array(slices, pa.binary()))
+        none = np.zeros(len(poor), np.int64)
+        yield out(2, np.array(sorted(poor), np.int64), none.astype(np.int32), none, none, pa.array([None] * len(poor), pa.binary()))
 
+    return texts.mapInArrow(run, "kind int, id long, size int, h1 long, h2 long, data binary")
 
-def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(kind, key, value): 0, the n-grams' document counts by hash; 2, bands that need special()."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, counts, poor = Plan(threshold), np.zeros(1 << BITS, np.int32), set()
-        for batch in batches:
-            for part in frame.steps(batch, 1):
-                for tokens in sets(part.column(1).to_pylist(), n):
-                    if not len(tokens):
-                        continue
-                    counts[(tokens >> np.uint64(64 - BITS)).astype(np.int64)] += 1
-                    band = plan.band(len(tokens))
-                    for b in (band, band - 1):
-                        if b and plan.segments(b) and not plan.sampled(b) and (h := plan.differing(len(tokens), b)) >= 0 and Cut(tokens, b, plan).units() < h + 1:
-                            poor.add(b)
-        at = np.flatnonzero(counts >= OFTEN)
-        yield pa.record_batch([pa.array(np.zeros(len(at), np.int32)), pa.array(at), pa.array(counts[at].astype(np.int64))], ["kind", "key", "value"])
-        yield pa.record_batch([pa.array(np.full(len(poor), 2, np.int32)), pa.array(sorted(poor), pa.int64()), pa.array(np.ones(len(poor), np.int64))], ["kind", "key", "value"])
-
-    return texts.mapInArrow(run, "kind int, key long, value long")
-
-
-def rows_of(doc: int, tokens: np.ndarray, plan: Plan, counts: np.ndarray, poor: set[int]) -> list[np.ndarray]:
-    """(signature, doc, size * 256 + flags, signature of the segment before) rows of one set."""
-    size, out = len(tokens), []
-    band = plan.band(size)
-
-    def put(sig: np.ndarray, flags, before=0) -> None:
-        if len(sig):
-            rows = np.empty((len(sig), 4), np.int64)
-            rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = _signed(sig), doc, size * 256 + flags, before
-            out.append(rows)
-
-    for b in (band, band - 1):
-        if not b:
-            continue
-        own, need = b == band, plan.differing(size, b) + 1
-        if not own and need <= 0:
-            continue
-        cut = Cut(tokens, b, plan)
-        if not len(cut.first):
-            continue
-        rare = counts[(cut.tokens >> np.uint64(64 - BITS)).astype(np.int64)]
-        cost = np.minimum.reduceat(rare, cut.first) + ROW_COST
-        # a second unit of a segment costs its one-deletion neighbourhood
-        deep = np.flatnonzero(cut.deep)
-        offers = np.concatenate([cost, cost[deep] * cut.size[deep]])
-        take = np.zeros(len(offers), bool)
-        if plan.sampled(b):
-            take[:] = cut.size > 1
-        elif need >= len(offers):
-            take[:] = True
-        elif need > 0:
-            take[np.argpartition(offers, need - 1)[:need]] = True
-        probe, twice = take[: len(cost)], np.zeros(len(cost), bool)
-        twice[deep] = take[len(cost) :]
-        probe = probe | twice
-        if b in poor and len(offers) < need:
-            put(np.array([special(b)], np.int64).view(np.uint64), PROBE)
-        if own and b in poor:
-            put(np.array([special(b)], np.int64).view(np.uint64), INDEX)
-        flags = (INDEX if own else 0) + PROBE * probe
-        sig = cut.signatures()
-        # the last segment before that other sets look up as well; 0: none
-        before, mask = np.zeros(len(cost), np.int64), np.zeros(len(cost), np.int64)
-        if cut.m:
-            last = np.maximum.accumulate(np.where(cut.size > 1 if plan.sampled(b) else True, np.arange(len(cost)), -1))
-            last = np.r_[-1, last[:-1]]
-            before[last >= 0] = _signed(sig)[last[last >= 0]]
-            mask[last >= 0] = BEFORE * probe[last[last >= 0]]
-        if own:
-            put(sig, flags + mask, before)
-            put(cut.neighbours(cut.deep), INDEX_LESS)
-        else:
-            put(sig[probe], (flags + mask)[probe], before[probe])
-        if twice.any():
-            put(cut.neighbours(twice), PROBE_LESS)
-    return out
-
-
-def signatures(texts: DataFrame, n: int, threshold: float, counts: np.ndarray, poor: set[int]) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast((counts, poor))  # a table of fixed size
+def cost_table(known: DataFrame) -> np.ndarray:
+    """A byte for each place of the table of frequencies, whatever the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Plan(threshold)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in frame.steps(batch, 1, 1 << 19):
-                out = [r for doc, tokens in zip(part.column(0).to_pylist(), sets(part.column(1).to_pylist(), n)) if len(tokens) for r in rows_of(doc, tokens, plan, *sent.value)]
-                if out:
-                    rows = np.concatenate(out)
-                    yield pa.record_batch([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["sig", "doc", "what", "before"])
-
-    return texts.mapInArrow(run, "sig long, doc long, what long, before long")
-
-
-def _met(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """(smaller, larger) documents of rows that share a signature; rows (4, n) are ordered by it."""
-    sig, doc, what, before = rows
-    edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
-    group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    asks = np.flatnonzero((what & (PROBE | PROBE_LESS) != 0) & (np.diff(edge)[group] > 1))
-    while len(asks):
-        width = (edge[group[asks] + 1] - edge[group[asks]])
-        upto = max(1, int(np.searchsorted(np.cumsum(width), BLOCK, "right")))
-        now, asks, width = asks[:upto], asks[upto:], width[:upto]
-        x = np.repeat(now, width)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(edge[group[now]], width)
-        fx, fy = what[x], what[y]
-        met = ((fx & PROBE != 0) & (fy & (INDEX | INDEX_LESS) != 0)) | ((fx & PROBE_LESS != 0) & (fy & INDEX != 0))
-        sx, sy = fx >> 8, fy >> 8
-        met &= (sy >= threshold * sx - 1e-9) & ((sy < sx) | (sy == sx) & (doc[y] < doc[x]))
-        x, y, fx = x[met], y[met], fx[met]
-        # a pair that also meets in the segment before is reported there; whole signatures are compared, so none is lost
-        exact = (fx & PROBE != 0) & (what[y] & INDEX != 0)
-        new = ~(exact & (fx & BEFORE != 0) & (before[x] == before[y]) & (before[x] != 0))
-        yield np.stack([doc[y[new]], doc[x[new]]])
-
-
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of documents that meet in a signature, the smaller set first."""
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + blobs.get(data)[0].astype(np.int64)
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([sg.costs(c).tobytes() for c in sums.values()], pa.binary())], ["id", "data"])
+
+    table = np.zeros(1 << sg.BITS, np.uint8)
+    for r in known.where("kind = 1").select("id", "data").repartition("id").mapInArrow(run, "id long, data binary").collect():
+        table[r.id * SLICE : (r.id + 1) * SLICE] = np.frombuffer(r.data, np.uint8)
+    return table
+
+
+def _sent(rows: sg.Rows, ids: np.ndarray, size: np.ndarray, groups: int, plan: sg.Plan) -> Iterator[pa.RecordBatch]:
+    """The rows as blobs, one for each group of signatures."""
+    if len(rows) < 1 << 24:
+        key = (rows.sig << np.uint64(24)) | np.arange(len(rows)).astype(np.uint64)
+        key.sort()
+        order = (key & sg.LOW24).astype(np.int64)
+    else:
+        order = np.argsort(rows.sig)
+    sig, doc, flags, before = rows.sig[order], rows.doc[order], rows.flags[order], rows.before[order]
+    code = (255 * rows.rank[order] // (plan.indexed(size)[doc] + 1)).astype(np.uint8)
+    group = (sig * np.uint64(groups)) >> np.uint64(40)
+    edge = np.searchsorted(group, np.arange(groups + 1).astype(np.uint64))
+    out_group, out = [], []
+    for g in np.flatnonzero(np.diff(edge)):
+        at = slice(edge[g], edge[g + 1])
+        here, which = np.unique(doc[at], return_inverse=True)
+        here = here[np.argsort(ids[here], kind="stable")]
+        place = np.empty(len(size), np.uint32)
+        place[here] = np.arange(len(here))
+        which = place[doc[at]]
+        out_group.append(g)
+        out.append(blobs.put(blobs.steps(ids[here]), size[here].astype(np.uint32), blobs.steps(sig[at]), which.astype(np.uint16) if len(here) <= 1 << 16 else which, code[at], flags[at], before[at]))
+    yield pa.record_batch([pa.array(out_group, pa.int32()), pa.array(out, pa.binary())], ["group", "data"])
+
+
+def signatures(texts: DataFrame, n: int, threshold: float, cost: np.ndarray, poor: set[int], groups: int) -> DataFrame:
+    """(group, data): look-ups and index rows of all sets, packed by ranges of their signatures."""
+    sent = texts.sparkSession.sparkContext.broadcast((cost, poor))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        plan, held = sg.Plan(threshold), []
 
-        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in _met(rows, threshold):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        def out() -> Iterator[pa.RecordBatch]:
+            start = np.cumsum([0] + [len(i) for _, i, _ in held])
+            for (rows, _, _), s in zip(held, start):
+                rows.doc = rows.doc + s
+            rows = sg.Rows.joined([r for r, _, _ in held])
+            if len(rows):
+                yield from _sent(rows, np.concatenate([i for _, i, _ in held]), np.concatenate([s for _, _, s in held]), groups, plan)
+            held.clear()
 
         for batch in batches:
-            new = np.stack([c.to_numpy() for c in batch.columns])
-            held = np.concatenate([held, new], axis=1) if held.shape[1] else new
-            if not held.shape[1] or held[0, -1] == held[0, 0]:
-                continue
-            last = int(np.searchsorted(held[0], held[0, -1], "left"))
-            yield from out(held[:, :last])
-            held = held[:, last:]
-        if held.shape[1]:
-            yield from out(held)
-
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
-
-
-def placed(pairs: DataFrame) -> DataFrame:
+            for part in frame.steps(batch, 1):
+                tokens, first = sg.sets(part.column(1).to_pylist(), n)
+                held.append((sg.rows_of(tokens, first, sent.value[0], plan, sent.value[1]), part.column(0).to_numpy(), np.diff(first)))
+                if sum(len(r) for r, _, _ in held) > HELD:
+                    yield from out()
+        yield from out()
+
+    return texts.mapInArrow(run, "group int, data binary")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(key, the other columns' values) of rows that are ordered by their first column."""
+    key, held = None, []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(0, np.int64)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if keys[lo] != key:
+                if held:
+                    yield key, held
+                key, held = keys[lo], [[] for _ in batch.columns[1:]]
+            for h, c in zip(held, batch.columns[1:]):
+                h.extend(c.slice(lo, hi - lo).to_pylist())
+    if held:
+        yield key, held
+
+
+def _pair_blobs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(key, blob) of distinct pairs."""
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        at = order[lo:hi]
+        ids = np.unique(np.concatenate([a[at], b[at]]))
+        code = np.unique(np.searchsorted(ids, a[at]) * len(ids) + np.searchsorted(ids, b[at]))
+        yield int(key[at[0]]), blobs.put(blobs.steps(ids), blobs.steps(code))
+
+
+def _pairs_of(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of blobs, in order."""
+    got = [[blobs.sums(x) for x in blobs.get(m)] for m in many]
+    ids = np.unique(np.concatenate([i.view(np.int64) for i, _ in got]))
+    codes = []
+    for own, code in got:
+        at, k = np.searchsorted(ids, own.view(np.int64)), np.uint64(len(own))
+        codes.append(at[(code // k).astype(np.int64)] * len(ids) + at[(code % k).astype(np.int64)])
+    code = np.unique(np.concatenate(codes))
+    return ids[code // len(ids)], ids[code % len(ids)]
+
+
+def candidates(rows: DataFrame, threshold: float, blocks: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of documents that meet in a signature and may be similar by sizes and ranks."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = sg.Plan(threshold)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                found = list(_pair_blobs(a, b, (mix(a.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)))
+                yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["block", "data"])
+
+        for _, (many,) in _by_key(batches):
+            got = [blobs.get(m) for m in many]
+            columns = [[], [], [], [], [], []]
+            for ids, size, sig, which, code, flags, before in got:
+                doc = which.astype(np.int64)
+                s = size.astype(np.int64)[doc]
+                rank = -(-(code.astype(np.int64) * (plan.indexed(s) + 1)) // 255)  # no more than the rank that was
+                for c, v in zip(columns, (blobs.sums(sig), blobs.sums(ids).view(np.int64)[doc], s, rank, flags, before)):
+                    c.append(v)
+            for a, b in sg.met(*[np.concatenate(c) for c in columns], plan):
+                if len(a):
+                    held.append((a, b))
+                    if sum(len(x) for x, _ in held) > HELD:
+                        yield from out()
+        yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (many,) in _by_key(batches):
+            a, b = _pairs_of(many)
+            for i in range(0, len(a), 1 << 17):
+                yield pa.record_batch([pa.array(a[i : i + (1 << 17)]), pa.array(b[i : i + (1 << 17)])], ["a", "b"])
+
+    met = rows.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "block int, data binary")
+    return met.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "a long, b long")
+
+
+def placed(pairs: DataFrame, blocks: int) -> DataFrame:
     """(block, a, b): each pair with the block that it is compared in.
 
     A document's label is its least partner's least partner, so that nearly all of a group of copies have one label
@@ -299,113 +217,185 @@ def placed(pairs: DataFrame) -> DataFrame:
     """
     least = pairs.select(F.col("a").alias("doc"), F.col("b").alias("to")).union(pairs.select("b", "a")).groupBy("doc").agg(F.least(F.col("doc"), F.min("to")).alias("label"))
     first = frame.stored(least)
-    second = first.join(first.select(F.col("doc").alias("label"), F.col("label").alias("far")), "label").select(F.col("doc").alias("b"), F.col("far").alias("label"))
-    labelled = frame.stored(pairs.join(second, "b"))
+    second = first.join(frame.sized(first.select(F.col("doc").alias("label"), F.col("label").alias("far")), 16), "label").select(F.col("doc").alias("b"), F.col("far").alias("label"))
+    labelled = frame.stored(pairs.join(frame.sized(second, 16), "b").select("a", "b", "label"))
     many = labelled.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
     parts = F.coalesce(F.ceil(F.col("n") / SPLIT), F.lit(1).cast("long"))
-    split = labelled.join(F.broadcast(many) if many.count() <= SENT else many, "label", "left")
-    return split.select(F.xxhash64("label", F.pmod(F.xxhash64("b"), parts)).alias("block"), "a", "b")
+    split = labelled.join(frame.sized(many, 16), "label", "left")
+    return split.select(F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("b"), parts)), F.lit(blocks)).cast("int").alias("block"), "a", "b")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the pairs that are similar enough, compared by their whole sets, block by block."""
-    pairs = frame.stored(placed(pairs))
-    need = frame.stored(pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks")))
-    # one row for each document that is in a pair; a small table is sent to the texts, else both are shuffled
-    found = texts.join(F.broadcast(need) if need.count() <= SENT else need, "doc_id").select("doc_id", "text", "blocks")
+Compare = Callable[[np.ndarray, list, np.ndarray, np.ndarray], pa.RecordBatch]
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in frame.steps(batch, 1):
-                packed = pa.array([pack(s) for s in sets(part.column(1).to_pylist(), n)], pa.binary())
-                blocks = part.column(2)
-                row = pa.array(np.repeat(np.arange(len(packed)), np.diff(blocks.offsets.to_numpy())))
-                yield pa.record_batch([blocks.flatten(), part.column(0).take(row), packed.take(row)], ["block", "a", "grams"])
 
-    held = found.mapInArrow(make, "block long, a long, grams binary").select("block", F.lit(None).cast("long").alias("b"), "a", "grams")
-    asked = pairs.select("block", "b", "a", F.lit(None).cast("binary").alias("grams"))
+def compared(pairs: DataFrame, blocks: int, payload: Callable[[DataFrame], DataFrame], compare: Compare, schema: str) -> DataFrame:
+    """What ``compare`` makes of each block's documents and pairs.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own, todo = None, {}, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if todo:
-                yield _compared(own, np.array(todo, np.int64), threshold)
-                todo.clear()
+    payload(need) gives (block, doc, data) for need, (doc_id, blocks) of all documents in pairs.
+    """
+    pairs = placed(pairs, blocks)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, b, a, g in zip(*[c.to_pylist() for c in batch.columns]):
-                if k != block:
-                    yield from done()
-                    block, own = k, {}
-                if b is None:
-                    own.setdefault(a, set()).add(g)
-                else:
-                    todo.append((a, b))
-                    if len(todo) >= 200_000:
-                        yield from done()
-        yield from done()
-
-    return held.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first(), "a").mapInArrow(compare, "doc_a long, doc_b long, jaccard double")
-
-
-def _compared(own: dict[int, set[bytes]], pairs: np.ndarray, threshold: float) -> pa.RecordBatch:
-    docs = np.unique(pairs)
-    # rows that share a doc_id but not their text are compared one by one
-    rows = [(d, unpack(g)) for d in docs.tolist() for g in own[d]]
-    owner = np.array([d for d, _ in rows])
-    first = np.searchsorted(owner, docs)
-    last = np.searchsorted(owner, docs, "right")
-    size = np.array([len(g) for _, g in rows])
-    _, codes = np.unique(np.concatenate([g for _, g in rows]), return_inverse=True)
-    start = np.cumsum(size) - size
-    mark = np.zeros(int(codes.max()) + 1, bool)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    edge = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0], True])
-    out_a, out_b, out_j = [], [], []
-    for lo, hi in zip(edge[:-1], edge[1:]):
-        a = int(np.searchsorted(docs, pairs[lo, 0]))
-        bs = np.searchsorted(docs, pairs[lo:hi, 1])
-        rows_b = np.concatenate([np.arange(first[b], last[b]) for b in bs])
-        for i in range(first[a], last[a]):
-            mine = codes[start[i] : start[i] + size[i]]
+            if batch.num_rows:
+                found = list(_pair_blobs(batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).to_numpy()))
+                yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.nulls(len(found), pa.int64()), pa.array([d for _, d in found], pa.binary())], ["block", "doc", "data"])
+
+    need = pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
+    held, asked = payload(frame.stored(need)), pairs.mapInArrow(pack, "block int, doc long, data binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (docs, data) in _by_key(batches):
+            own = [i for i, d in enumerate(docs) if d is not None]
+            asks = [x for d, x in zip(docs, data) if d is None]
+            yield compare(np.array([docs[i] for i in own], np.int64), [data[i] for i in own], *_pairs_of(asks))
+
+    return held.unionByName(asked).repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+
+
+def _rows_of_pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, pair) for ascending ids; an id that has several rows is taken with each."""
+    fa, fb = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    na, nb = np.searchsorted(ids, a, "right") - fa, np.searchsorted(ids, b, "right") - fb
+    many = na * nb
+    pair = np.repeat(np.arange(len(a)), many)
+    k = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+    return fa[pair] + k // nb[pair], fb[pair] + k % nb[pair], pair
+
+
+def sifting(threshold: float) -> Compare:
+    """Pairs whose sketches differ in no more places than their sets may in n-grams."""
+
+    def compare(ids: np.ndarray, data: list, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        plan = sg.Plan(threshold)
+        order = np.argsort(ids, kind="stable")
+        ids, data = ids[order], [data[i] for i in order]
+        size = np.array([int.from_bytes(d[:4], "little") for d in data])
+        words = np.array([(len(d) - 4) // 8 for d in data])
+        flat, at = np.frombuffer(b"".join(d[4:] for d in data), np.uint64), np.cumsum(words) - words
+        ra, rb, pair = _rows_of_pairs(ids, a, b)
+        small, large = np.where(words[ra] <= words[rb], ra, rb), np.where(words[ra] <= words[rb], rb, ra)
+        differ = np.zeros(len(pair), np.int64)
+        for w in np.unique(words[small]) if len(pair) else []:
+            for fold in np.unique(words[large[words[small] == w]] // w):
+                where = np.flatnonzero((words[small] == w) & (words[large] == w * fold))
+                for i in range(0, len(where), max(1, (1 << 20) // int(w * fold))):
+                    now = where[i : i + max(1, (1 << 20) // int(w * fold))]
+                    x = flat[at[small[now]][:, None] + np.arange(w)]
+                    y = flat[at[large[now]][:, None] + np.arange(w * fold)].reshape(len(now), fold, w)
+                    differ[now] = np.bitwise_count(x ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1)
+        keep = np.unique(pair[differ <= plan.exact(size[ra], size[rb])])
+        return pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return compare
+
+
+def verifying(threshold: float) -> Compare:
+    """The Jaccard similarity of the pairs that are similar enough; of several rows with one id the most similar counts."""
+
+    def compare(ids: np.ndarray, data: list, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(ids, kind="stable")
+        ids, sets = ids[order], [unpack(data[i]) for i in order]
+        size = np.array([len(s) for s in sets], np.int64)
+        start = np.cumsum(size) - size
+        _, codes = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+        ra, rb, pair = _rows_of_pairs(ids, a, b)
+        order = np.argsort(ra, kind="stable")
+        ra, rb, pair = ra[order], rb[order], pair[order]
+        mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        common = np.zeros(len(pair), np.int64)
+        edge = np.flatnonzero(np.r_[True, ra[1:] != ra[:-1], True]) if len(ra) else np.zeros(0, np.int64)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            mine = codes[start[ra[lo]] : start[ra[lo]] + size[ra[lo]]]
             mark[mine] = True
-            for at in range(0, len(rows_b), 2000):
-                rb = rows_b[at : at + 2000]
-                flat = np.concatenate([codes[start[r] : start[r] + size[r]] for r in rb])
-                common = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(size[rb]) - size[rb])
-                j = common / (size[i] + size[rb] - common)
-                ok = j >= threshold - 1e-12
-                out_a.append(np.full(int(ok.sum()), docs[a]))
-                out_b.append(owner[rb[ok]])
-                out_j.append(j[ok])
+            for i in range(lo, hi, 2000):
+                r = rb[i : min(hi, i + 2000)]
+                n = size[r]
+                where = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[r], n)
+                common[i : i + len(r)] = np.add.reduceat(mark[codes[where]].astype(np.int64), np.cumsum(n) - n)
             mark[mine] = False
-    a, b, j = (np.concatenate(x) if x else np.zeros(0) for x in (out_a, out_b, out_j))
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(j.astype(float))], ["doc_a", "doc_b", "jaccard"])
+        jaccard = np.zeros(len(a))
+        np.maximum.at(jaccard, pair, common / np.maximum(1, size[ra] + size[rb] - common))
+        keep = np.flatnonzero(jaccard >= threshold - 1e-12)
+        return pa.record_batch([pa.array(a[keep]), pa.array(b[keep]), pa.array(jaccard[keep])], ["doc_a", "doc_b", "jaccard"])
 
+    return compare
 
-def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of documents whose n-gram sets are at least so similar.
 
-    Whole texts are compared, and every document is looked up; there is no limit on partners. N-grams are of
-    lower-cased words, told apart by 40 bits of their hashes when pairs are
-    verified. Pairs of sets in bands that end below LARGE are found for certain,
-    of others all but a few in 10,000 at the least similarity. Null ids, null texts and texts without words are in no pair. Rows
-    that repeat a doc_id are one document: it isn't paired with itself, and of different texts the most similar
-    counts. An empty table gives no rows; other columns aren't read.
-    """
+def pack(tokens: np.ndarray) -> bytes:
+    """A set as the differences of its n-grams, in planes of five bytes."""
+    return np.ascontiguousarray(blobs.steps(tokens).view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(5, -1).T
+    return blobs.sums(out.view(np.uint64).ravel())
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, bool]:
+    """(pairs, twins, repeated): similar pairs (doc_a, doc_b, jaccard) of documents of which one stands for each distinct
+    set; (doc, least) of all others and the one that stands for them; whether a doc_id has several rows."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be from 0.5 to 1")
     texts = frame.plain(docs, doc_id="long", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
     known = frame.stored(profile(texts, n, threshold))
-    counts = np.zeros(1 << BITS, np.int32)
-    got = known.where("kind = 0").groupBy("key").agg(F.sum("value").alias("v")).toPandas()  # 2 ** BITS rows at most
-    counts[got["key"].to_numpy(np.int64)] = np.minimum(got["v"].to_numpy(np.int64), 1 << 30)
-    poor = {r.key for r in known.where("kind = 2").select("key").distinct().collect()}  # one for each band at most
-    pairs = frame.stored(candidates(signatures(texts, n, threshold, counts, poor), threshold))
-    found = verified(texts, pairs, n, threshold).where("doc_a < doc_b")
-    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    cost, poor = cost_table(known), {r.id for r in known.where("kind = 2").select("id").distinct().collect()}  # one for each band at most
+    own = known.where("kind = 0")
+    count, grams = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    groups, blocks, compare = max(1, ceil(1.4 * grams / GROUP)), max(1, ceil(count / DOCS)), max(1, ceil(5 * grams / BLOCK_BYTES))
+    # the least document of each set stands for it
+    same = own.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    twins = frame.stored(own.select("id", "h1", "h2").join(frame.sized(frame.stored(same), 24), ["h1", "h2"]).where("id != least").select(F.col("id").alias("doc"), "least").distinct())
+    repeated = own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    # a document that has another row too, with a set of its own, is still needed
+    gone = twins.select("doc").distinct()
+    if repeated:
+        sets = own.join(same, ["h1", "h2"], "left").groupBy("id").agg(F.min(F.coalesce(F.col("least") != F.col("id"), F.lit(False))).alias("gone"))
+        gone = frame.stored(sets.where("gone").select(F.col("id").alias("doc")))
+    rest = texts.join(frame.sized(gone, 8), F.col("doc_id") == F.col("doc"), "left_anti")
+    pairs = frame.stored(candidates(signatures(rest, n, threshold, cost, poor, groups), threshold, blocks))
+
+    def sketched(need: DataFrame) -> DataFrame:
+        head = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("size", 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)]))
+        found = own.join(frame.sized(need, 64), F.col("id") == F.col("doc_id")).select(F.explode("blocks").alias("block"), F.col("id").alias("doc"), F.concat(head, F.col("data")).alias("data"))
+        return found
+
+    def whole(need: DataFrame) -> DataFrame:
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in frame.steps(batch, 1):
+                    tokens, first = sg.sets(part.column(1).to_pylist(), n)
+                    packed = pa.array([pack(tokens[first[i] : first[i + 1]]) for i in range(part.num_rows)], pa.binary())
+                    blocks = part.column(2)
+                    row = pa.array(np.repeat(np.arange(len(packed)), np.diff(blocks.offsets.to_numpy())))
+                    yield pa.record_batch([blocks.flatten(), part.column(0).take(row), packed.take(row)], ["block", "doc", "data"])
+
+        return texts.join(frame.sized(need, 64), "doc_id").select("doc_id", "text", "blocks").mapInArrow(make, "block int, doc long, data binary")
+
+    sifted = frame.stored(compared(pairs, compare, sketched, sifting(threshold), "a long, b long"))
+    return compared(sifted, compare, whole, verifying(threshold), "doc_a long, doc_b long, jaccard double"), twins, repeated
+
+
+def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of documents whose n-gram sets are at least so similar.
+
+    Whole texts are compared, every document is looked up, and there is no limit on partners. N-grams are of lower-cased
+    words and told apart by 40 bits of their hashes, identical sets by 128; a pair is lost only if different signatures
+    have one print of 32 bits, that is with a chance of some 1e-9. Null ids, null texts and texts without words are in no
+    pair. Rows that repeat a doc_id are one document: it isn't paired with itself, and of different texts the most
+    similar counts. Ties in size or similarity change nothing. An empty table gives no rows; other columns aren't read.
+    """
+    pairs, twins, repeated = links(docs, n, threshold)
+    least = twins.select("least").distinct()
+    members = frame.stored(twins.union(least.select("least", "least")))
+    other = members.select(F.col("doc").alias("doc2"), F.col("least").alias("least2"))
+    sent, sent2 = frame.sized(members, 16), frame.sized(other, 16)
+    wide = pairs.join(sent, F.col("doc_a") == F.col("least"), "left").join(sent2, F.col("doc_b") == F.col("least2"), "left")
+    wide = wide.select(F.coalesce("doc", "doc_a").alias("x"), F.coalesce("doc2", "doc_b").alias("y"), "jaccard")
+    within = members.join(sent2, F.col("least") == F.col("least2")).where("doc < doc2").select(F.col("doc").alias("x"), F.col("doc2").alias("y"), F.lit(1.0).alias("jaccard"))
+    found = wide.where("x != y").union(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated else found
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -432,13 +422,19 @@ def groups(pairs: DataFrame) -> DataFrame:
     return labels
 
 
-def deduplicated(docs: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs without those documents that are in a group with a lesser doc_id, with all columns. Null ids stay."""
-    gone = frame.stored(groups(pairs).where("doc != least").select(F.col("doc").alias("gone")))
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs without those documents that are in a group with a lesser doc_id, with all columns.
+
+    Groups are joined by pairs of similar(); identical sets aren't paired with each other, one pair leads from each to
+    the least. Null ids stay, and so do null texts and texts without words. Rows that repeat a doc_id are one document:
+    all of them stay or go. An empty table stays empty.
+    """
+    at = frame.position(docs, doc_id)
+    pairs, twins, _ = links(frame.plain(docs, **{doc_id: "long", text: "string"}).toDF("doc_id", "text"), n, threshold)
+    edges = pairs.select("doc_a", "doc_b").union(twins.select("least", "doc"))
+    gone = frame.stored(groups(edges).where("doc != least").select(F.col("doc").alias("gone")))
     bare = frame.unnamed(docs)
-    key = F.col(f"c{frame.position(docs, doc_id)}").cast("long")
-    few = gone.count() <= SENT
-    return bare.join(F.broadcast(gone) if few else gone, key == F.col("gone"), "left_anti").toDF(*docs.columns)
+    return bare.join(frame.sized(gone, 8), F.col(f"c{at}").cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

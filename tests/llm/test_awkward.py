@@ -49,7 +49,7 @@ def operators(labels, small_pii):
         "packing": packing.pack,
         "lengths": lambda d: lengths.histogram(lengths.encoded_lengths(d)),
         "neardup": neardup.similar,
-        "deduplicated": lambda d: neardup.deduplicated(d, neardup.similar(d)),
+        "deduplicated": neardup.deduplicated,
         "language": lambda d: language.identified(d, language.train(d)),
         "known": lambda d: language.known(d, language.train(d)),
         "bpe": bpe.encoded,

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reachlight.llm import bpe, language, lengths, media, neardup, packing, pii, queries, repetition, sharding, toxicity
+from reachlight.llm import blobs, bpe, language, lengths, media, neardup, packing, pii, queries, repetition, segments, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -136,30 +136,76 @@ def test_packing_query(spark, folder, texts):
 
 
 # near duplicates
-@pytest.mark.parametrize(("n", "threshold"), [(1, 0.75), (2, 0.6), (1, 0.9)])
+def sets_of(texts, n):
+    tokens, first = segments.sets(texts, n)
+    return [set(tokens[a:b].tolist()) for a, b in zip(first, first[1:])]
+
+
+def similarities(texts, n, threshold):
+    own = sets_of(texts, n)
+    every = {(a, b): len(own[a] & own[b]) / max(1, len(own[a] | own[b])) for a in range(len(own)) for b in range(a + 1, len(own))}
+    return {k: j for k, j in every.items() if j >= threshold - 1e-12}
+
+
+def found(spark, docs, n, threshold):
+    frame = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(docs)), "text": docs}))
+    got = neardup.similar(frame, n, threshold).collect()
+    assert len({(r.doc_a, r.doc_b) for r in got}) == len(got)
+    return {(r.doc_a, r.doc_b): r.jaccard for r in got}
+
+
+def same(got, want):
+    return got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_sets_are_those_of_the_words():
+    texts = ["A b. a B c", "", None, "one", "Été l'été", "x " * 40]
+    one, two = sets_of(texts, 1), sets_of(texts, 2)
+    assert list(map(len, one)) == [3, 0, 0, 1, 2, 1] and list(map(len, two)) == [3, 0, 0, 1, 2, 1]
+
+
+@pytest.mark.parametrize(("n", "threshold"), [(1, 0.75)])
 def test_all_pairs(spark, texts, n, threshold):
-    own = dict(zip(texts.doc_id, map(frozenset, (s.tolist() for s in neardup.sets(texts.text.tolist(), n)))))
-    want = {}
-    for a, b in ((a, b) for a, b in product(own, own) if a < b):
-        j = len(own[a] & own[b]) / max(1, len(own[a] | own[b]))
-        if j >= threshold:
-            want[a, b] = j
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in neardup.similar(spark.createDataFrame(texts), n, threshold).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
-
-
-def test_all_pairs_of_invented_sets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 8)  # small sets too go through segments, neighbourhoods and the poor bands
+    want = similarities(texts.text.tolist(), n, threshold)
+    assert same(found(spark, texts.text.tolist(), n, threshold), want) and want
+
+
+def test_near_duplicates_query(spark, folder, texts):
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in queries.QUERIES["op5_near_duplicates"](spark, folder).collect()}
+    ids = texts.doc_id.tolist()
+    assert same(got, {(ids[a], ids[b]): j for (a, b), j in similarities(texts.text.tolist(), 2, 0.6).items()})
+
+
+def met_pairs(docs, n, threshold):
+    """Pairs that meet, without Spark."""
+    tokens, first = segments.sets(docs, n)
+    size, plan = np.diff(first), segments.Plan(threshold)
+    counts = np.bincount(segments.place_of(tokens), minlength=1 << segments.BITS)
+    poor = segments.poor_bands(tokens, first, plan)
+    rows = segments.rows_of(tokens, first, segments.costs(counts), plan, poor)
+    pairs = set()
+    for a, b in segments.met(rows.sig, rows.doc, size[rows.doc], rows.rank, rows.flags, rows.before, plan):
+        pairs |= set(zip(a.tolist(), b.tolist()))
+    return pairs, poor
+
+
+@pytest.mark.parametrize(("n", "threshold", "small", "load"), [(1, 0.75, 4, 0.5), (2, 0.6, 4, 2.5), (1, 0.5, 36, 0.5), (1, 0.95, 8, 0.5), (1, 1.0, 8, 0.5)])
+def test_similar_sets_meet(monkeypatch, n, threshold, small, load):
+    monkeypatch.setattr(segments, "SMALL", small)  # small sets too go through segments and neighbourhoods
+    monkeypatch.setattr(segments, "LOAD", load)  # with large segments through the poor bands
+    monkeypatch.setattr(segments, "NEVER_POOR", 10**9)
     rng = random.Random(4)
-    docs = []
-    for i in range(60):
-        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((3, 9, 20, 45, 120, 300)))]
-        for _ in range(rng.choice((1, 1, 2, 5))):
-            docs.append(" ".join(w if rng.random() > 0.06 else f"v{rng.randrange(10**6)}" for w in base) + " the of and")
-    frame = pd.DataFrame({"doc_id": range(len(docs)), "text": docs})
-    own = [set(d.split()) for d in docs]
-    want = {(a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.75}
-    assert {(r.doc_a, r.doc_b) for r in neardup.similar(spark.createDataFrame(frame), 1, 0.75).collect()} == want and len(want) > 30
+    some_poor = False
+    for _ in range(6):
+        docs = []
+        for _ in range(40):
+            base = [f"w{int(4000 * rng.random() ** 3)}" for _ in range(rng.choice((2, 3, 5, 9, 20, 45, 120, 300)))]
+            for _ in range(rng.choice((1, 1, 2, 6))):
+                docs.append(" ".join(w if rng.random() > 0.06 else f"v{rng.randrange(10**6)}" for w in base[: max(1, int(len(base) * rng.choice((1, 1, 0.8))))]) + " the of")
+        pairs, poor = met_pairs(docs, n, threshold)
+        some_poor |= bool(poor)
+        assert similarities(docs, n, threshold).keys() <= pairs
+    assert some_poor or load < 1
 
 
 def edited_copies(n, words, least, most, seed=12):
@@ -169,40 +215,65 @@ def edited_copies(n, words, least, most, seed=12):
     return [" ".join(w if rng.random() > share else f"v{rng.randrange(10**9)}" for w in base) for share in (rng.uniform(least, most) for _ in range(n))]
 
 
-def similarities(texts, n):
-    own = [set(s.tolist()) for s in neardup.sets(texts, n)]
-    return {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in range(len(own)) for b in range(a + 1, len(own))}
-
-
 @pytest.mark.parametrize("words", [98, 470, 1300])  # near the tops of bands
 def test_edited_copies_in_a_large_group(spark, words):
     docs = edited_copies(300, words, 0.03, 0.08)
-    want = {k for k, j in similarities(docs, 2).items() if j >= 0.6}
-    got = {(r.doc_a, r.doc_b) for r in neardup.similar(spark.createDataFrame(pd.DataFrame({"doc_id": range(len(docs)), "text": docs})), 2, 0.6).collect()}
-    assert got <= want and len(want) > 10_000
-    assert len(got) == len(want) if words < 100 else len(got) >= 0.999 * len(want)
+    want = similarities(docs, 2, 0.6)
+    assert want.keys() <= met_pairs(docs, 2, 0.6)[0] and len(want) > 10_000
+    if words == 470:
+        assert same(found(spark, docs, 2, 0.6), want)
+
+
+@pytest.mark.parametrize(("common", "own"), [(300, 78), (3000, 740), (60, 15)])
+def test_frequent_shared_and_rare_own_words(common, own):
+    """What similar pairs share is frequent, what tells them apart is rare: the cheapest look-ups are those that fail."""
+    rng = random.Random(common)
+    docs = []
+    for pair in range(20):
+        shared = [f"c{k}" for k in rng.sample(range(common * 2), common)]
+        for _ in range(2):
+            docs.append(" ".join(shared + [f"u{rng.randrange(10**12)}" for _ in range(own)]))
+    want = {k for k, j in similarities(docs, 1, 0.6).items()}
+    assert want >= {(2 * k, 2 * k + 1) for k in range(20)} and want <= met_pairs(docs, 1, 0.6)[0]
+
+
+def test_identical_sets_and_repeated_ids(spark):
+    body = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, body) for i in range(30)] + [(30, body + " x"), (31, "other words here"), (3, body), (3, "other words here"), (None, body), (40, None), (41, "")]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in neardup.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(a, b): 1.0 for a in range(30) for b in range(a + 1, 30)} | {(a, 30): 79 / 80 for a in range(30)} | {(3, 31): 1.0}
+    assert same(got, want)
+    left = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted(["0", "None", "40", "41"])
+
+
+def test_sketches_reject_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 40, 700):
+        base = np.unique(rng.integers(0, 1 << 40, size).astype(np.uint64))
+        other = np.unique(np.r_[base[: max(1, size * 4 // 5)], rng.integers(0, 1 << 40, size // 6).astype(np.uint64)])
+        tokens, first = np.r_[base, other], np.array([0, len(base), len(base) + len(other)])
+        data, at = segments.sketches(tokens, first)
+        rows = [int(n).to_bytes(4, "little") + data[a:b].tobytes() for n, a, b in zip(np.diff(first), at, at[1:])]
+        j = len(np.intersect1d(base, other)) / len(np.union1d(base, other))
+        assert neardup.sifting(j)(np.array([7, 9]), rows, np.array([7]), np.array([9])).num_rows == 1
+    assert neardup.unpack(neardup.pack(base)).tolist() == base.tolist()
 
 
-def test_bands_hold_every_similar_size():
-    plan = neardup.Plan(0.75)
-    for size in range(1, 3000):
-        low = plan.least(size)
-        assert plan.band(size) - plan.band(low) <= 1
-        for s in (low, size):
-            overlap = max(int(np.ceil(0.75 / 1.75 * (s + size) - 1e-9)), 0)
-            if overlap <= s:
-                assert plan.differing(size, plan.band(s)) >= s + size - 2 * overlap
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=50), max_size=4))
+def test_blobs_give_back_what_they_hold(columns):
+    kinds = (np.uint64, np.uint32, np.int64, np.uint64)
+    x = [np.array(c, k) for c, k in zip(columns, kinds)]
+    assert [c.tolist() for c in blobs.get(blobs.put(*x))] == [c.tolist() for c in x]
 
 
 def test_equal_prints_of_other_segments_lose_no_pair():
-    # two rows of one signature; what lies before differs, but for the first 15 bits of each 16
-    before = np.array([0x1234_1234_1234_1234, 0x1234_1234_1234_1235])
-    flags = neardup.INDEX + neardup.PROBE + 0xF0
-    for other in (before, before[::-1]):
-        rows = np.array([[7, 7], [1, 2], [200 * 256 + flags] * 2, other])
-        assert [p.tolist() for p in neardup._met(rows, 0.6) if p.size] == [[[1], [2]]]
-    rows[3] = before[0]  # the same segment before: reported there
-    assert not any(p.size for p in neardup._met(rows, 0.6))
+    plan, sig, flags = segments.Plan(0.6), np.array([7, 7], np.uint64), np.array([3, 3], np.uint8)
+    args = (sig, np.array([1, 2]), np.array([200, 200]), np.array([1, 1]), flags)
+    pairs = lambda before: [p for a, b in segments.met(*args, np.array(before, np.uint32), plan) for p in zip(a.tolist(), b.tolist())]
+    assert pairs([5, 6]) == [(1, 2)] and pairs([0, 0]) == [(1, 2)]
+    assert pairs([5, 5]) == []  # the same segment before: reported there
 
 
 def test_groups(spark):
