@@ -26,7 +26,7 @@ from reachlight.llm.words import mix
 #: Words in an n-gram, and the least similarity.
 N, THRESHOLD = 2, 0.6
 #: Rows that meet in one step, rows that a task holds before it sends them, documents for each block of candidates.
-GROUP, HELD, DOCS = 1 << 19, 1 << 21, 1 << 13
+GROUP, HELD, DOCS = 1 << 19, 1 << 20, 1 << 13
 #: Bytes of sets in a block in which pairs are compared, and pairs of one label in one block at most.
 BLOCK_BYTES, SPLIT = 1 << 22, 1_000_000
 #: Places of the table of frequencies in a slice, in which it is summed.
@@ -46,7 +46,7 @@ def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
         for batch in batches:
             for part in frame.steps(batch, 1):
                 tokens, first = sg.sets(part.column(1).to_pylist(), n)
-                counts += np.bincount(sg.place_of(tokens), minlength=1 << sg.BITS).astype(np.int32)
+                np.add.at(counts, sg.place_of(tokens), 1)
                 poor |= sg.poor_bands(tokens, first, plan)
                 data, at = sg.sketches(tokens, first)
                 sketch = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
@@ -343,7 +343,7 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[Da
     cost, poor = cost_table(known), {r.id for r in known.where("kind = 2").select("id").distinct().collect()}  # one for each band at most
     own = known.where("kind = 0")
     count, grams = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups, blocks, compare = max(1, ceil(1.4 * grams / GROUP)), max(1, ceil(count / DOCS)), max(1, ceil(5 * grams / BLOCK_BYTES))
+    groups, blocks, compare = max(1, ceil(grams / GROUP)), max(1, ceil(count / DOCS)), max(1, ceil(5 * grams / BLOCK_BYTES))
     # the least document of each set stands for it
     same = own.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     twins = frame.stored(own.select("id", "h1", "h2").join(frame.sized(frame.stored(same), 24), ["h1", "h2"]).where("id != least").select(F.col("id").alias("doc"), "least").distinct())

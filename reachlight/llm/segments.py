@@ -4,9 +4,17 @@ Sets whose sizes lie in one band share one partition of the universe of n-grams
 n-grams with at least the least similarity differ in at most H = floor(c (s + t)) n-grams, so that a set has at most H
 segments that the other doesn't have just the same. All sets rank their segments alike, by the cost of looking one up
 and then by its hash: the first segment of that order that two similar sets have in common is among the first H + 1 of
-both. One n-gram of DEEP lies in larger segments, which are indexed with their one-deletion neighbourhoods as well:
-such a look-up fails only if two n-grams or more differ in it, so it stands for two others, and a set takes it where it
-is cheaper than they are.
+both.
+
+H + 1 counts every differing n-gram as a lost segment of either set. An n-gram that only the other set has costs a set
+a segment just if it falls into one that the set has, and where it falls is the hash's choice, made before any ranking
+by cost. So of a set's segments at most those are lost that its own differing n-grams lie in, and as many as a binomial
+variable says of the other's; its upper bound holds but for a chance of e ** -SURE, whichever segments are cheap. Where
+that is less than H, it is taken.
+
+One n-gram of DEEP lies in larger segments, which are indexed with their one-deletion neighbourhoods as well: such a
+look-up fails only if two n-grams or more differ in it, so it stands for two others, and a set takes it where it is
+cheaper than they are.
 """
 
 from __future__ import annotations
@@ -19,15 +27,17 @@ import numpy as np
 from reachlight.llm.words import Words, grams, mix
 
 #: Sets whose band ends below SMALL have each n-gram as a segment of its own; others have so many n-grams in a segment on average.
-SMALL, LOAD = 36, 0.5
+SMALL, LOAD = 36, 1 / 16
 #: One n-gram of DEEP is in a segment with a neighbourhood; n-grams in such a segment on average.
-DEEP, LOAD_DEEP = 32, 3.0
+DEEP, LOAD_DEEP = 64, 3.0
 #: Places of the table of n-gram frequencies, 2 ** BITS, a byte each.
 BITS = 22
 #: From this size on, too few segments for H + 1 look-ups have a chance below 1e-30 and aren't looked for.
 NEVER_POOR = 200
+#: Minus the logarithm of the chance that more segments are lost than is reckoned with.
+SURE = 21.0
 #: Pairs that are looked at at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 PROBE, INDEX, PROBE_LESS, INDEX_LESS = 1, 2, 4, 8
 TOKEN = np.uint64((1 << 40) - 1)
@@ -84,6 +94,28 @@ def sketches(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.packbits(odd, bitorder="little"), at // 8
 
 
+def _tails() -> np.ndarray:
+    """Least k, for means of 0, 1/8, 2/8, ..., that a sum of independent hits reaches with a chance of at most e ** -SURE (Chernoff)."""
+    mean = np.arange(1, 1 << 15) / 8
+    low, high = mean.copy(), mean + 10 * SURE + 10 * np.sqrt(SURE * mean)
+    for _ in range(60):
+        k = (low + high) / 2
+        over = k * np.log(k / mean) - k + mean >= SURE
+        low, high = np.where(over, low, k), np.where(over, k, high)
+    return np.r_[0, np.ceil(high)].astype(np.int64)
+
+
+TAILS = _tails()
+
+
+def hits(n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    """How many of n n-grams fall into segments that take up a share p of all, but for a chance of e ** -SURE."""
+    mean = n * np.minimum(p, 1.0)
+    at = np.ceil(8 * mean).astype(np.int64)
+    beyond = np.ceil(mean + SURE / 3 + np.sqrt(SURE**2 / 9 + 2 * SURE * mean)).astype(np.int64)  # Bernstein
+    return np.minimum(n, np.where(at < len(TAILS), TAILS[np.minimum(at, len(TAILS) - 1)], beyond))
+
+
 class Plan:
     """Size bands, segments and look-ups for a threshold."""
 
@@ -109,14 +141,36 @@ class Plan:
         """The most n-grams in which similar sets of these sizes differ, or one more."""
         return np.floor((1 - 2 * self.share) * (s + t) + 1e-9).astype(np.int64)
 
+    def filled(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The most of a band's segments that a set has n-grams in, as a share; 0 where each n-gram is a segment."""
+        plain, _ = self.segments()
+        m = plain[band].astype(float)
+        return np.where(m > 0, size / np.maximum(m, 1) + 1 / DEEP, 0.0)
+
+    def lost(self, own: np.ndarray, other: np.ndarray, filled: np.ndarray, upto: np.ndarray | None = None) -> np.ndarray:
+        """The most segments of a set of size ``own`` that a similar one hasn't just the same, of size ``other``, or from that to ``upto``."""
+        upto = other if upto is None else upto
+        more = own - np.ceil(self.share * (own + other) - 1e-9).astype(np.int64)
+        less = upto - np.ceil(self.share * (own + upto) - 1e-9).astype(np.int64) + (upto != other)
+        return np.minimum(self.differing(own, upto), np.maximum(more, 0) + hits(np.maximum(less, 0), filled))
+
+    def _most(self, own: np.ndarray, low: np.ndarray, high: np.ndarray, filled: np.ndarray) -> np.ndarray:
+        """lost(), the most over all sizes from low to high."""
+        most = np.zeros(len(own), np.int64)
+        for i in range(16):
+            a, b = low + (high - low) * i // 16, low + (high - low) * (i + 1) // 16
+            most = np.maximum(most, self.lost(own, a, filled, b))
+        return most
+
     def probes(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """The most in which a set and a similar one of the band, no larger, differ; -1: there is none."""
+        """The most segments that a set has and a similar one of the band, no larger, has not; -1: there is none."""
         top, low = np.minimum(size, self.ends[band]), np.maximum(self.ends[np.maximum(band - 1, 0)] + 1, np.ceil(self.threshold * size - 1e-9).astype(np.int64))
-        return np.where((band > 0) & (top >= low), self.differing(top, size), -1)
+        return np.where((band > 0) & (top >= low), self._most(size, np.minimum(low, top), top, self.filled(size, band)), -1)
 
     def indexed(self, size: np.ndarray) -> np.ndarray:
-        """The most in which a set and a similar one, no smaller, differ; -1 for an empty set."""
-        return np.where(size > 0, self.differing(size, np.floor(size / self.threshold + 1e-9).astype(np.int64)), -1)
+        """The most segments that a set has and a similar one, no smaller, has not; -1 for an empty set."""
+        band = self.bands(size)
+        return np.where(size > 0, self._most(size, size, np.floor(size / self.threshold + 1e-9).astype(np.int64), self.filled(size, band)), -1)
 
     def exact(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
         """The most n-grams in which similar sets of these sizes differ."""
@@ -141,7 +195,7 @@ def special(band: int) -> int:
 class Rows:
     """Signatures of many sets: sig (40 bits), doc (place of its set), rank, flags, before (print of the one ranked before; 0: none)."""
 
-    KINDS = (np.uint64, np.int64, np.int64, np.uint8, np.uint32)
+    KINDS = (np.uint64, np.int32, np.int32, np.uint8, np.uint32)
 
     def __init__(self, *columns: np.ndarray):
         self.sig, self.doc, self.rank, self.flags, self.before = (c.astype(k, copy=False) for c, k in zip(columns, self.KINDS))
@@ -286,6 +340,9 @@ def met(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, rank: np.ndarray, fl
     edge = np.r_[0, np.cumsum(width)]
     ids, size, rank, flags, before = ids[order], size[order], rank[order], flags[order], before[order]
     group = np.repeat(np.arange(len(width)), width)
+    # a set may be looked up in its own band or in the next lower one: the larger share holds for both
+    own = plan.bands(size)
+    filled = np.maximum(plan.filled(size, own), plan.filled(size, np.maximum(own - 1, 0)))
     asks = np.flatnonzero(flags & (PROBE | PROBE_LESS))
     upto = np.cumsum(width[group[asks]])
     done = 0
@@ -296,12 +353,12 @@ def met(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, rank: np.ndarray, fl
         w = width[group[now]]
         x = np.repeat(now, w)
         y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(edge[group[now]], w)
-        ok = (size[y] < size[x]) | (size[y] == size[x]) & ((ids[y] < ids[x]) | (ids[y] == ids[x]) & (y < x))
+        ok = (size[y] >= plan.threshold * size[x] - 1e-9) & ((size[y] < size[x]) | (size[y] == size[x]) & ((ids[y] < ids[x]) | (ids[y] == ids[x]) & (y < x)))
         x, y = x[ok], y[ok]
-        sx, sy, fx, fy = size[x], size[y], flags[x], flags[y]
+        sx, sy, fx, fy, px, py = size[x], size[y], flags[x], flags[y], filled[x], filled[y]
         ok = ((fx & PROBE > 0) & (fy & (INDEX | INDEX_LESS) > 0)) | ((fx & PROBE_LESS > 0) & (fy & INDEX > 0))
-        # no more segments of either set than n-grams may differ come before the first that both have
-        ok &= (sy >= plan.threshold * sx - 1e-9) & (np.maximum(rank[x], rank[y]) <= plan.exact(sx, sy)) & (ids[x] != ids[y])
+        # no more segments of either set than may be lost come before the first that both have
+        ok &= (rank[x] <= plan.lost(sx, sy, px)) & (rank[y] <= plan.lost(sy, sx, py)) & (ids[x] != ids[y])
         # a pair that has the segment before in common too has met there
         ok &= (before[x] == 0) | (before[x] != before[y])
         x, y = ids[x[ok]], ids[y[ok]]
