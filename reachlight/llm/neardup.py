@@ -29,32 +29,41 @@ N, THRESHOLD = 2, 0.6
 GROUP, HELD, DOCS = 1 << 19, 1 << 20, 1 << 13
 #: Bytes of sets in a block in which pairs are compared, and pairs of one label in one block at most.
 BLOCK_BYTES, SPLIT = 1 << 22, 1_000_000
-#: Places of the table of frequencies in a slice, in which it is summed.
-SLICE = 1 << 16
+#: Places of the table of frequencies in a slice, in which it is summed; documents after which a task sends its counts.
+SLICE, COUNTED = 1 << 16, 20_000
 
 
 def profile(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """(kind, id, size, h1, h2, data): 0, a document's size, set hash and sketch; 1, counts of a slice of the table of frequencies; 2, a band with too few segments for a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, counts, poor = sg.Plan(threshold), np.zeros(1 << sg.BITS, np.int32), set()
+        plan, counts, poor, docs = sg.Plan(threshold), np.zeros(1 << sg.BITS, np.uint16), set(), 0
 
         def out(kind, ids, size, h1, h2, data) -> pa.RecordBatch:
             k = len(ids)
             return pa.record_batch([pa.array(np.full(k, kind, np.int32)), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), data], ["kind", "id", "size", "h1", "h2", "data"])
 
+        def table() -> pa.RecordBatch:
+            slices = [blobs.put(counts[i : i + SLICE]) for i in range(0, 1 << sg.BITS, SLICE)]
+            none = np.zeros(len(slices), np.int64)
+            return out(1, np.arange(len(slices)), none.astype(np.int32), none, none, pa.array(slices, pa.binary()))
+
         for batch in batches:
             for part in frame.steps(batch, 1):
                 tokens, first = sg.sets(part.column(1).to_pylist(), n)
-                np.add.at(counts, sg.place_of(tokens), 1)
+                for i in range(0, part.num_rows, COUNTED):  # a document adds a few at most to a place
+                    np.add.at(counts, sg.place_of(tokens[first[i] : first[min(i + COUNTED, part.num_rows)]]), np.uint16(1))
+                    docs += min(COUNTED, part.num_rows - i)
+                    if docs >= COUNTED:
+                        yield table()
+                        docs = 0
+                        counts[:] = 0
                 poor |= sg.poor_bands(tokens, first, plan)
                 data, at = sg.sketches(tokens, first)
                 sketch = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
                 full = out(0, part.column(0), np.diff(first), *sg.set_hashes(tokens, first), sketch)
                 yield full.filter(pa.array(np.diff(first) > 0))
-        slices = [blobs.put(counts[i : i + SLICE]) for i in range(0, 1 << sg.BITS, SLICE)]
-        none = np.zeros(len(slices), np.int64)
-        yield out(1, np.arange(len(slices)), none.astype(np.int32), none, none, pa.array(slices, pa.binary()))
+        yield table()
         none = np.zeros(len(poor), np.int64)
         yield out(2, np.array(sorted(poor), np.int64), none.astype(np.int32), none, none, pa.array([None] * len(poor), pa.binary()))
 
@@ -333,27 +342,19 @@ def unpack(packed: bytes) -> np.ndarray:
     return blobs.sums(out.view(np.uint64).ravel())
 
 
-def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, bool]:
-    """(pairs, twins, repeated): similar pairs (doc_a, doc_b, jaccard) of documents of which one stands for each distinct
-    set; (doc, least) of all others and the one that stands for them; whether a doc_id has several rows."""
-    if not 0.5 <= threshold <= 1:
-        raise ValueError("threshold must be from 0.5 to 1")
-    texts = frame.plain(docs, doc_id="long", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
+def links(texts: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, twins) of (doc_id, text), where a doc_id has one text: similar pairs (doc_a, doc_b, jaccard) of documents of
+    which one stands for each distinct set, and (doc, least) of all others and the one that stands for them."""
     known = frame.stored(profile(texts, n, threshold))
     cost, poor = cost_table(known), {r.id for r in known.where("kind = 2").select("id").distinct().collect()}  # one for each band at most
     own = known.where("kind = 0")
     count, grams = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     groups, blocks, compare = max(1, ceil(grams / GROUP)), max(1, ceil(count / DOCS)), max(1, ceil(5 * grams / BLOCK_BYTES))
+    sift = max(1, ceil(0.3 * grams * 2 / BLOCK_BYTES))  # sketches take some 0.3 bytes for each n-gram; half a block's bytes each
     # the least document of each set stands for it
     same = own.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     twins = frame.stored(own.select("id", "h1", "h2").join(frame.sized(frame.stored(same), 24), ["h1", "h2"]).where("id != least").select(F.col("id").alias("doc"), "least").distinct())
-    repeated = own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
-    # a document that has another row too, with a set of its own, is still needed
-    gone = twins.select("doc").distinct()
-    if repeated:
-        sets = own.join(same, ["h1", "h2"], "left").groupBy("id").agg(F.min(F.coalesce(F.col("least") != F.col("id"), F.lit(False))).alias("gone"))
-        gone = frame.stored(sets.where("gone").select(F.col("id").alias("doc")))
-    rest = texts.join(frame.sized(gone, 8), F.col("doc_id") == F.col("doc"), "left_anti")
+    rest = texts.join(frame.sized(twins, 8), F.col("doc_id") == F.col("doc"), "left_anti")
     pairs = frame.stored(candidates(signatures(rest, n, threshold, cost, poor, groups), threshold, blocks))
 
     def sketched(need: DataFrame) -> DataFrame:
@@ -373,8 +374,36 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[Da
 
         return texts.join(frame.sized(need, 64), "doc_id").select("doc_id", "text", "blocks").mapInArrow(make, "block int, doc long, data binary")
 
-    sifted = frame.stored(compared(pairs, compare, sketched, sifting(threshold), "a long, b long"))
-    return compared(sifted, compare, whole, verifying(threshold), "doc_a long, doc_b long, jaccard double"), twins, repeated
+    sifted = frame.stored(compared(pairs, sift, sketched, sifting(threshold), "a long, b long"))
+    return compared(sifted, compare, whole, verifying(threshold), "doc_a long, doc_b long, jaccard double"), twins
+
+
+def expanded(pairs: DataFrame, twins: DataFrame) -> DataFrame:
+    """(x, y, jaccard): the pairs of all documents, from those of one for each set."""
+    least = twins.select("least").distinct()
+    members = frame.stored(twins.union(least.select("least", "least")))
+    other = members.select(F.col("doc").alias("doc2"), F.col("least").alias("least2"))
+    sent, sent2 = frame.sized(members, 16), frame.sized(other, 16)
+    wide = pairs.join(sent, F.col("doc_a") == F.col("least"), "left").join(sent2, F.col("doc_b") == F.col("least2"), "left")
+    within = members.join(sent2, F.col("least") == F.col("least2")).where("doc < doc2").select(F.col("doc").alias("x"), F.col("doc2").alias("y"), F.lit(1.0).alias("jaccard"))
+    return wide.select(F.coalesce("doc", "doc_a").alias("x"), F.coalesce("doc2", "doc_b").alias("y"), "jaccard").union(within)
+
+
+def _edges(docs: DataFrame, n: int, threshold: float, every: bool) -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs, or, if not ``every``, pairs that join the same groups."""
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("threshold must be from 0.5 to 1")
+    texts = frame.plain(docs, doc_id="long", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    repeated = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    key = F.xxhash64("doc_id", "text")
+    # where a doc_id has several rows, each text of it is searched by a key of its own
+    pairs, twins = links(texts.select(key.alias("doc_id"), "text") if repeated else texts, n, threshold)
+    found = expanded(pairs, twins) if every else pairs.toDF("x", "y", "jaccard").union(twins.select("least", "doc", F.lit(1.0)))
+    if repeated:
+        ids = frame.stored(texts.select(key.alias("x"), F.col("doc_id").alias("u")).distinct())
+        found = found.join(frame.sized(ids, 16), "x").join(frame.sized(ids.toDF("y", "v"), 16), "y").select(F.col("u").alias("x"), F.col("v").alias("y"), "jaccard").where("x != y")
+    found = found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated else found
 
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -382,20 +411,13 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
 
     Whole texts are compared, every document is looked up, and there is no limit on partners. N-grams are of lower-cased
     words and told apart by 40 bits of their hashes, identical sets by 128; a pair is lost only if different signatures
-    have one print of 32 bits, that is with a chance of some 1e-9. Null ids, null texts and texts without words are in no
+    have one print of 32 bits, that is with a chance of some 1e-9, or if more
+    segments are lost than segments.py reckons with, which has a chance of that order for a pair of the least
+    similarity and far less above. Null ids, null texts and texts without words are in no
     pair. Rows that repeat a doc_id are one document: it isn't paired with itself, and of different texts the most
     similar counts. Ties in size or similarity change nothing. An empty table gives no rows; other columns aren't read.
     """
-    pairs, twins, repeated = links(docs, n, threshold)
-    least = twins.select("least").distinct()
-    members = frame.stored(twins.union(least.select("least", "least")))
-    other = members.select(F.col("doc").alias("doc2"), F.col("least").alias("least2"))
-    sent, sent2 = frame.sized(members, 16), frame.sized(other, 16)
-    wide = pairs.join(sent, F.col("doc_a") == F.col("least"), "left").join(sent2, F.col("doc_b") == F.col("least2"), "left")
-    wide = wide.select(F.coalesce("doc", "doc_a").alias("x"), F.coalesce("doc2", "doc_b").alias("y"), "jaccard")
-    within = members.join(sent2, F.col("least") == F.col("least2")).where("doc < doc2").select(F.col("doc").alias("x"), F.col("doc2").alias("y"), F.lit(1.0).alias("jaccard"))
-    found = wide.where("x != y").union(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated else found
+    return _edges(docs, n, threshold, True)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -430,8 +452,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     all of them stay or go. An empty table stays empty.
     """
     at = frame.position(docs, doc_id)
-    pairs, twins, _ = links(frame.plain(docs, **{doc_id: "long", text: "string"}).toDF("doc_id", "text"), n, threshold)
-    edges = pairs.select("doc_a", "doc_b").union(twins.select("least", "doc"))
+    edges = _edges(frame.plain(docs, **{doc_id: "long", text: "string"}).toDF("doc_id", "text"), n, threshold, False)
     gone = frame.stored(groups(edges).where("doc != least").select(F.col("doc").alias("gone")))
     bare = frame.unnamed(docs)
     return bare.join(frame.sized(gone, 8), F.col(f"c{at}").cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)

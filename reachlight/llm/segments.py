@@ -31,7 +31,7 @@ SMALL, LOAD = 36, 1 / 16
 #: One n-gram of DEEP is in a segment with a neighbourhood; n-grams in such a segment on average.
 DEEP, LOAD_DEEP = 64, 3.0
 #: Places of the table of n-gram frequencies, 2 ** BITS, a byte each.
-BITS = 22
+BITS = 24
 #: From this size on, too few segments for H + 1 look-ups have a chance below 1e-30 and aren't looked for.
 NEVER_POOR = 200
 #: Minus the logarithm of the chance that more segments are lost than is reckoned with.
@@ -79,8 +79,8 @@ def set_hashes(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketch_bits(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's sketch: a power of two, at least 64 and twice the size."""
-    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 2))).astype(np.int64))
+    """Bits of a set's sketch: a power of two, at least 64 and one and a half times the size."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1.5 * size, 2))).astype(np.int64))
 
 
 def sketches(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
