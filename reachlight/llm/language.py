@@ -219,7 +219,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> tuple[list[str], n
 
 
 def train(docs: DataFrame, sample: int = SAMPLE):
-    """A field from at most ``sample`` documents whose lang is known, chosen by a hash of doc_id. Null texts and languages are left out."""
+    """A field from at most ``sample`` documents whose lang is known, chosen by a hash of the row.
+
+    Null ids, texts and languages are left out, rows alike in all three count once, and rows that only share a doc_id
+    each. Without such rows there are no labels.
+    """
     rows = frame.plain(docs, doc_id="long", text="string", lang="string").where("text IS NOT NULL AND lang IS NOT NULL")
     few = frame.sampled(rows, "doc_id", sample).toPandas()
     few = few.sort_values(["doc_id", "text"])

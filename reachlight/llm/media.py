@@ -98,18 +98,14 @@ def fingerprint(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(times, hashes): for each pair of peaks the earlier frame, and bin 1, bin 2 and distance packed in 24 bits."""
     t, f = peaks(x)
     times, hashes = [], []
-    used = np.zeros(len(t), np.int64)
-    for k in range(1, 1 + 2 * FAN_OUT):  # the next peaks in order; those of the same frame don't pair
-        if len(t) <= k:
-            break
-        gap = t[k:] - t[:-k]
-        ok = (gap > 0) & (gap <= REACH) & (used[:-k] < FAN_OUT)
-        used[:-k] += ok
-        at = np.flatnonzero(ok)
+    later = np.searchsorted(t, t, "right")  # peaks of one frame don't pair; each has the first FAN_OUT of later frames within REACH
+    for k in range(FAN_OUT):
+        at = np.flatnonzero(later + k < len(t))
+        to = later[at] + k
+        near = t[to] - t[at] <= REACH
+        at, to = at[near], to[near]
         times.append(t[at])
-        hashes.append((f[at] << 16) | (f[at + k] << 8) | gap[at])
-    if not times:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        hashes.append((f[at] << 16) | (f[to] << 8) | (t[to] - t[at]))
     times, hashes = np.concatenate(times), np.concatenate(hashes)
     order = np.lexsort((hashes, times))
     return times[order].astype(np.int32), hashes[order].astype(np.int32)

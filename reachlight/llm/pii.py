@@ -468,7 +468,10 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A model whose training windows are cut from at most ``sample`` texts, chosen by a hash of doc_id; labelled spans are set into them."""
+    """A model whose training windows are cut from at most ``sample`` texts, chosen by a hash; labelled spans are set into them.
+
+    Rows alike in doc_id and text count once. Without texts the windows are of invented words.
+    """
     rows = frame.plain(docs, doc_id="long", text="string").where("text IS NOT NULL AND text != ''")
     few = frame.sampled(rows, "doc_id", sample).toPandas().sort_values(["doc_id", "text"])
     return fit(few["text"].tolist())

@@ -119,12 +119,17 @@ def probabilities(texts: list[str | None], model: tuple[np.ndarray, np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """A model from at most ``sample`` labelled documents. Null labels, ids and texts are left out; repeated rows count each."""
+    """A model from at most ``sample`` labels of documents, chosen by a hash.
+
+    Null labels, ids and texts are left out. Labels that repeat in everything count once, different labels of one
+    document each; of a doc_id's texts the least counts, so that no more rows than ``sample`` reach the driver.
+    An empty table, or one without labels, gives a model without weights.
+    """
     rows = frame.plain(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     few = frame.sampled(rows, "doc_id", sample)
     texts = frame.plain(docs, doc_id="long", text="string").where("text IS NOT NULL")
     # the sample is of at most ``sample`` rows, whatever the tables hold
-    got = texts.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text").toPandas().sort_values(["doc_id", "toxic", "text"])
+    got = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "toxic", "text"])
     return fit(got["text"].tolist(), (got["toxic"] > 0).astype(int).tolist())
 
 

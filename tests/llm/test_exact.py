@@ -486,7 +486,29 @@ def test_splitters_by_weight():
     assert bounds.k.tolist()[0] == "a" and (bounds.k == "b").sum() >= 3 and bounds.equals(bounds.sort_values(["k", "u"]).reset_index(drop=True))
 
 
+# samples
+def test_samples_hold_as_many_rows_as_asked_for(spark):
+    from reachlight.llm import frame
+
+    one = spark.createDataFrame([(7, f"text {i}", "en") for i in range(20_000)], "doc_id long, text string, lang string")
+    assert frame.sampled(one, "doc_id", 1500).count() == 1500
+    alike = one.select("doc_id").withColumn("text", one.doc_id * 0)
+    assert frame.sampled(alike, "doc_id", 1500).count() == 1
+    assert frame.sampled(one.limit(0), "doc_id", 5).count() == 0 and frame.sampled(one.limit(3), "doc_id", 5).count() == 3
+    assert len(language.train(one, 50)[0]) == 1
+    assert language.known(one, language.train(one, 50)).count() == 20_000
+    labels = spark.createDataFrame([(7, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert toxicity.train(one, labels) is not None
+    assert pii.train(one.limit(20), 5)
+
+
 # media
+def test_chords_have_all_their_pairs(monkeypatch):
+    t, f = np.repeat([0, 1], 8), np.tile(np.arange(8), 2)
+    monkeypatch.setattr(media, "peaks", lambda x: (t, f))
+    assert len(media.fingerprint(np.zeros(1))[0]) == 8 * media.FAN_OUT
+
+
 def test_tones_are_found():
     rate = 8000
     t = np.arange(rate * 2) / rate
@@ -537,7 +559,7 @@ def test_media_query(spark, folder, texts):
             pairs = defaultdict(list)
             for k, (i, j) in enumerate(at):
                 used = 0
-                for i2, j2 in at[k + 1 : k + 1 + 2 * media.FAN_OUT]:
+                for i2, j2 in at[k + 1 :]:
                     if 0 < i2 - i <= media.REACH and used < media.FAN_OUT:
                         pairs[i].append((j << 16) | (j2 << 8) | (i2 - i))
                         used += 1
