@@ -121,10 +121,17 @@ def most_exposed(found: DataFrame) -> DataFrame:
 
 def by_consequence(found: DataFrame, most: int = 6) -> DataFrame:
     """(repo, label, findings, rule_ids, methods): the first distinct methods in order of exposure."""
-    method = F.element_at(F.split(F.regexp_extract("call_text", r"^([^(]*)", 1), r"\."), -1)
-    each = found.where("NOT suppressed").select("repo", label(F.col("category")).alias("label"), "rule_id", F.struct(exposure_key().alias("k"), method.alias("m")).alias("x"))
-    rows = each.groupBy("repo", "label").agg(F.count("*").alias("findings"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"), F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"])), 1, most).alias("methods"))
-    return rows
+    # the last call outside all parentheses: its name stands before parentheses that end the text
+    inner = r"[^()]*"
+    for _ in range(6):
+        inner = rf"(?:[^()]|\({inner}\))*"
+    last = F.regexp_extract("call_text", rf"([^\s().]+)\s*\({inner}\)\s*$", 1)
+    method = F.when(last != "", last).otherwise(F.element_at(F.split(F.regexp_extract("call_text", r"^([^(]*)", 1), r"\."), -1))
+    each = found.where("NOT suppressed").select("repo", label(F.col("category")).alias("label"), "rule_id", exposure_key().alias("k"), method.alias("m"))
+    # one row for each distinct method before any list is made
+    methods = each.groupBy("repo", "label", "m").agg(F.count("*").alias("n"), F.collect_set("rule_id").alias("ids"), F.min("k").alias("k"))
+    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]), 1, most)
+    return methods.groupBy("repo", "label").agg(F.sum("n").alias("findings"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("rule_ids"), first.alias("methods"))
 
 
 def new_since(found: DataFrame, baseline: DataFrame) -> DataFrame:

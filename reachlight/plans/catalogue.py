@@ -94,7 +94,7 @@ FRAMEWORKS = _words("langgraph pydantic_ai openai crewai semantic_kernel autogen
 GUARD_ATTRIBUTES = _words("auth_required permission_required require_auth requires_auth requires_human_approval requires_approval requires_permission needs_confirmation requires_confirmation human_in_the_loop is_dangerous requires_consent")
 GUARD_DECORATORS = _words("login_required permission_required authenticated authorized authorize require_auth requires_auth requires_approval require_permission requires_permission requires_confirmation human_in_the_loop")
 GUARD_ARGUMENTS = _words("auth authorizer dependencies permission_classes authentication_classes permissions")
-GUARDS = _words("audit_and_proceed confirm_proceed auth_required login_required admin_required permission_required roles_required jwt_required authz_required authenticated is_authenticated is_permitted assert_permitted allowed is_allowed assert_allowed authorized is_authorized cedar_is_authorized assert_authorized guard enforce casbin_enforce require_role has_role assert_has_role requires_role policy_engine validate_scope oauth_scope check_scope requires_scope HumanInTheLoopMiddleware BoundaryMiddleware verify_signature authenticate gate policy_gate Broker.execute ProtectedExecutor.execute Gateway.execute audit_and_execute assert_can_execute authorize cedar_authorize is_staff verify_proof experimental_toolCallStreaming require_auth check_auth requires_auth human_approval_callback cedar_check policy_check opa_eval policy_engine_eval rego_eval cedar_eval policy_eval human_approval requires_approval get_approval await_approval request_approval confirm can user_can assert_can verify_token requires_login require_admin requires_admin enforce_permission require_permission check_permission has_permission assert_has_permission requires_permission require_authentication requireConfirmation human_confirmation requires_confirmation elicitation request_elicitation enforce_authorization require_authorization check_authorization requires_authorization guard_action authorize_action confirm_action human_in_the_loop BoundaryVerifier Broker HumanApprovalCallbackHandler gatekeeper require_verified_user require_active_user can_user current_user get_current_user require_superuser is_superuser Broker.execute_via_adapter assert_authorized_for ProtectedExecutor Depends requires_roles verify_mtls check_access assert_can_access has_access assert_has_access elicit server.elicit ctx.elicit checkpoint require_client_cert verify_client_cert guard_request authorize_request decode_jwt require_jwt validate_jwt verify_jwt audit_and_allow may user_may Gateway check_opa_policy enforce_policy require_api_key validate_api_key verify_api_key checkpoint_verify policy_verify BoundaryVerifier.verify_boundary require_authz")
+GUARDS = _words("audit_and_proceed confirm_proceed auth_required login_required admin_required permission_required roles_required jwt_required authz_required authenticated is_authenticated is_permitted assert_permitted allowed is_allowed assert_allowed authorized is_authorized cedar_is_authorized assert_authorized guard enforce casbin_enforce require_role has_role assert_has_role requires_role policy_engine validate_scope oauth_scope check_scope requires_scope HumanInTheLoopMiddleware verify_signature authenticate gate policy_gate Gateway.execute audit_and_execute assert_can_execute authorize cedar_authorize is_staff verify_proof experimental_toolCallStreaming require_auth check_auth requires_auth human_approval_callback cedar_check policy_check opa_eval policy_engine_eval rego_eval cedar_eval policy_eval human_approval requires_approval get_approval await_approval request_approval confirm can user_can assert_can verify_token requires_login require_admin requires_admin enforce_permission require_permission check_permission has_permission assert_has_permission requires_permission require_authentication requireConfirmation human_confirmation requires_confirmation elicitation request_elicitation enforce_authorization require_authorization check_authorization requires_authorization guard_action authorize_action confirm_action human_in_the_loop HumanApprovalCallbackHandler gatekeeper require_verified_user require_active_user can_user current_user get_current_user require_superuser is_superuser assert_authorized_for Depends requires_roles verify_mtls check_access assert_can_access has_access assert_has_access elicit server.elicit ctx.elicit checkpoint require_client_cert verify_client_cert guard_request authorize_request decode_jwt require_jwt validate_jwt verify_jwt audit_and_allow may user_may Gateway check_opa_policy enforce_policy require_api_key validate_api_key verify_api_key checkpoint_verify policy_verify require_authz")
 CHECK_WORDS = _words("assert check sanitise sanitize validate verify")
 RAISING = _words("audit_and_proceed confirm_proceed auth_required login_required admin_required jwt_required authz_required assert_permitted assert_allowed assert_authorized guard casbin_enforce verify_signature authenticate validate gate policy_gate audit_and_execute authorize verify_proof require_auth requires_auth policy_check human_approval confirm user_can assert_can requires_login require_admin requires_admin enforce_permission require_authentication human_confirmation elicitation request_elicitation enforce_authorization require_authorization guard_action authorize_action confirm_action human_in_the_loop can_user require_superuser verify_mtls elicit require_client_cert guard_request authorize_request require_jwt audit_and_allow user_may enforce_policy require_api_key verify require_authz")
 RAISING_STARTS = _words("assert_ ensure_ enforce_ must_ require_")

@@ -79,7 +79,7 @@ MODULES = {
 
 @pytest.fixture(scope="module")
 def scanned(spark):
-    table = spark.createDataFrame([("r", p, s) for p, (s, _) in MODULES.items()] + [("r", "x.go", "package x")], "repo string, path string, source string")
+    table = spark.createDataFrame([("r", p, s) for p, (s, _) in MODULES.items()] + [("r", "x.rb", "puts 1")], "repo string, path string, source string")
     return scan(tree.from_table(table, "repo", "path", "source"))
 
 
@@ -98,7 +98,7 @@ def test_module(found, path):
 
 def test_nothing_disappears(scanned):
     assert [r.path for r in scanned.errors.collect()] == ["broken.py"]
-    assert [tuple(r) for r in scanned.unsupported.select("path", "language").collect()] == [("x.go", "go")]
+    assert [tuple(r) for r in scanned.unsupported.select("path", "language").collect()] == [("x.rb", "ruby")]
     row = repositories(scanned).first()
     assert row.files_scanned == len(MODULES) and row.errors == 1
     assert scanned.findings.where("path = 'ignored.py'").first().suppression_reason == "inline"
@@ -107,7 +107,7 @@ def test_nothing_disappears(scanned):
 def test_reports(scanned):
     doc = reports.document(scanned, "r")
     assert doc["findings"] == len(doc["findings_list"]) == sum(len(f) for _, f in MODULES.values())
-    assert doc["unsupported"]["by_language"] == {"go": 1} and not doc["statement"]
+    assert doc["unsupported"]["by_language"] == {"ruby": 1} and not doc["statement"]
     log = reports.sarif(scanned, "r")["runs"][0]
     assert len(log["results"]) == doc["findings"] and len({r["id"] for r in log["tool"]["driver"]["rules"]}) == len(log["tool"]["driver"]["rules"])
     assert "plain.py" in reports.text(scanned, "r") and "| high |" in reports.markdown(scanned, "r") and reports.dumps(doc)
@@ -118,6 +118,15 @@ def test_reports(scanned):
     assert one["controlled"] == ["url"] and one["rule_id"] == "NET-EGRESS"
 
 
+def test_method_is_the_last_call_outside_parentheses(spark):
+    from reachlight.operators.findings import by_consequence
+
+    calls = ["connect().cursor().execute(x)", "os.system(f(g(1), h()))", "run", "a.b (c)", "sub(run)"]
+    rows = [("r", f"{i}.py", i, "EXEC-SHELL", "shell_execution", "high", "high", c, False) for i, c in enumerate(calls)]
+    got = by_consequence(spark.createDataFrame(rows, "repo string, path string, line int, rule_id string, category string, effective_severity string, confidence string, call_text string, suppressed boolean")).first()
+    assert set(got.methods) == {"execute", "system", "run", "b", "sub"} and got.findings == 5 and got.rule_ids == ["EXEC-SHELL"]
+
+
 def test_baseline(spark, scanned, tmp_path):
     reports.write_baseline(scanned, str(tmp_path / "b"))
     again = scan(scanned.files, baseline=spark.read.json(str(tmp_path / "b")))
