@@ -170,10 +170,25 @@ def test_all_pairs(spark, texts, n, threshold):
     assert same(found(spark, texts.text.tolist(), n, threshold), want) and want
 
 
+def classes_of(ids, pairs):
+    """(doc_id, class_id, links) by brute force."""
+    least, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            changed |= least[a] != least[b]
+            least[a] = least[b] = min(least[a], least[b])
+    return sorted((i, least[i], links[i]) for i in ids)
+
+
 def test_near_duplicates_query(spark, folder, texts):
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in queries.QUERIES["op5_near_duplicates"](spark, folder).collect()}
+    got = [tuple(r) for r in queries.QUERIES["op5_near_duplicates"](spark, folder).collect()]
     ids = texts.doc_id.tolist()
-    assert same(got, {(ids[a], ids[b]): j for (a, b), j in similarities(texts.text.tolist(), 2, 0.6).items()})
+    assert sorted(got) == classes_of(ids, [(ids[a], ids[b]) for a, b in similarities(texts.text.tolist(), 2, 0.6)])
 
 
 def met_pairs(docs, n, threshold):
@@ -224,6 +239,39 @@ def test_edited_copies_in_a_large_group(spark, words):
         assert same(found(spark, docs, 2, 0.6), want)
 
 
+def test_rows_of_a_clump_are_not_paired():
+    plan, sig, ids = segments.Plan(0.6), np.array([7] * 6, np.uint64), np.arange(6)
+    args = (sig, ids, np.full(6, 200), np.ones(6, int), np.full(6, 3, np.uint8), np.zeros(6, np.uint32), plan)
+    pairs = lambda clump: sorted(p for a, b in segments.met(*args, np.array(clump)) for p in zip(a.tolist(), b.tolist()))
+    every = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    for clump in ([0] * 6, [5] * 6, [5, 0, 5, 0, -3, -3], [-3, 5, 0, 5, -3, 0]):
+        assert pairs(clump) == [(a, b) for a, b in every if clump[a] == 0 or clump[a] != clump[b]]
+
+
+@pytest.mark.parametrize("part", [1024, 40])
+def test_classes_of_large_groups_make_no_rows_of_pairs(spark, monkeypatch, part):
+    """Groups of edited copies, of which some are repeated as they are, some at the threshold, among others."""
+    monkeypatch.setattr(neardup, "PART", part)
+    monkeypatch.setattr(neardup, "HUB", 16)
+    docs = edited_copies(150, 200, 0.0, 0.15, 1) + edited_copies(90, 60, 0.02, 0.12, 2) + edited_copies(20, 100, 0.05, 0.1, 3) + ["alone here", "", "!"]
+    docs += [docs[i] for i in (0, 0, 5, 9, 200, 255)]
+    rows = [(i * 3, d) for i, d in enumerate(docs)] + [(5000, None), (None, docs[0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = similarities(docs, 2, 0.6)
+    got = sorted(tuple(r) for r in neardup.classes(table).collect())
+    assert got == classes_of([i for i, _ in rows if i is not None], [(3 * a, 3 * b) for a, b in want])
+    assert len(want) > 5_000
+    assert same({(r.doc_a, r.doc_b): r.jaccard for r in neardup.similar(table).collect()}, {(3 * a, 3 * b): j for (a, b), j in want.items()})
+    left = sorted(r.doc_id for r in neardup.deduplicated(table).where("doc_id IS NOT NULL").collect())
+    assert left == [i for i, c, _ in got if i == c]
+
+
+def test_classes_where_ids_are_repeated(spark):
+    rows = [(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (2, "e f g h"), (3, "e f g h"), (4, "x y"), (4, "x y"), (None, "x y")]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 0)]
+
+
 @pytest.mark.parametrize(("common", "own"), [(300, 78), (3000, 740), (60, 15)])
 def test_frequent_shared_and_rare_own_words(common, own):
     """What similar pairs share is frequent, what tells them apart is rare: the cheapest look-ups are those that fail."""
