@@ -308,6 +308,22 @@ def test_sketches_reject_no_similar_pair():
     assert neardup.unpack(neardup.pack(base)).tolist() == base.tolist()
 
 
+def test_candidates_are_sifted_before_they_are_rows(spark):
+    """Blobs of all pairs, some twice, against sketches in three chunks; a document of one n-gram and one without partner are among them."""
+    docs = edited_copies(12, 80, 0.0, 0.1, 6) + [f"w{i}" for i in range(5)] + edited_copies(12, 300, 0.0, 0.1, 7)
+    tokens, first = segments.sets(docs, 2)
+    data, at = segments.sketches(tokens, first)
+    ids = np.arange(len(docs)) * 7 - 50
+    own = [(int(i), int(n), bytearray(data[a:b].tobytes())) for i, n, a, b in zip(ids, np.diff(first), at, at[1:])]
+    a, b = (ids[x] for x in np.triu_indices(len(docs), 1))
+    x, y = neardup.chunk_of(a, 3), neardup.chunk_of(b, 3)
+    blocks = [(k, bytearray(d)) for k, d in neardup._pair_blobs(a, b, np.minimum(x, y) * 3 + np.maximum(x, y))]
+    pairs = spark.createDataFrame(blocks + blocks[:2], "block int, data binary")
+    rows = neardup.sifted(pairs, spark.createDataFrame(own, "id long, size int, data binary"), 0.6, 3).collect()
+    got, want = {(r.a, r.b) for r in rows}, {(int(ids[i]), int(ids[j])) for i, j in similarities(docs, 2, 0.6)}
+    assert len(got) == len(rows) and want and want <= got and len(got) < len(a)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=50), max_size=4))
 def test_blobs_give_back_what_they_hold(columns):
