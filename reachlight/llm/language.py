@@ -272,7 +272,7 @@ def identified(docs: DataFrame, model) -> DataFrame:
                 f = documents(part.column(1).to_pylist(), sent.value)
                 yield pa.record_batch([part.column(0), pa.array(f["language"], pa.string()), pa.array(f["share"], pa.float64()), pa.array(f["n_words"], pa.int64()), pa.array(f["switches"], pa.int64())], ["doc_id", "language", "share", "n_words", "switches"])
 
-    return frame.plain(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)
+    return frame.plain(docs, doc_id="long", text="string").mapInArrow(frame.trimmed(run), SCHEMA)
 
 
 def known(docs: DataFrame, model, text: str = "text") -> DataFrame:

@@ -493,7 +493,7 @@ def redacted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 new = [t if not s else redact(t, s) for t, s in zip(texts, find(texts, sent.value))]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
-    return bare.mapInArrow(run, bare.schema).toDF(*docs.columns)
+    return bare.mapInArrow(frame.trimmed(run), bare.schema).toDF(*docs.columns)
 
 
 def searched(docs: DataFrame, model: dict) -> DataFrame:
@@ -513,7 +513,7 @@ def searched(docs: DataFrame, model: dict) -> DataFrame:
                 spans = pa.array([None if t is None else [{"begin": b, "end": e, "kind": KINDS[k]} for b, e, k in s] for t, s in zip(texts, found)], kind)
                 yield pa.record_batch([part.column(0), new, spans], ["doc_id", "text", "spans"])
 
-    return frame.plain(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, text string, spans array<struct<begin int, end int, kind string>>")
+    return frame.plain(docs, doc_id="long", text="string").mapInArrow(frame.trimmed(run), "doc_id long, text string, spans array<struct<begin int, end int, kind string>>")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -155,7 +155,7 @@ def measures(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
                 found = [(None, None) if t is None else repeats(t, shortest) for t in texts]
                 yield pa.record_batch([part.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int64()), pa.array([c for c, _ in found], pa.float64()), pa.array([r for _, r in found], pa.int64())], ["doc_id", "n_chars", "covered", "longest_repeat"])
 
-    return frame.plain(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)
+    return frame.plain(docs, doc_id="long", text="string").mapInArrow(frame.trimmed(run), SCHEMA)
 
 
 def clean(docs: DataFrame, text: str = "text", shortest: int = SHORTEST, most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:

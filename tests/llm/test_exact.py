@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reachlight.llm import blobs, bpe, language, lengths, media, neardup, packing, pii, queries, repetition, segments, sharding, toxicity
+from reachlight.llm import blobs, bpe, frame, language, lengths, media, neardup, packing, pii, queries, repetition, segments, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -628,3 +628,20 @@ def test_media_query(spark, folder, texts):
                         pairs[i].append((j << 16) | (j2 << 8) | (i2 - i))
                         used += 1
             assert list(zip(got[d].times, got[d].hashes)) == [(i, h) for i in sorted(pairs) for h in sorted(pairs[i])]
+
+
+# workers
+def test_workers_give_back_what_they_freed():
+    import psutil
+
+    def run(_):
+        many = [np.ones(10_000) for _ in range(3000)]
+        pinned.append(many[-1])  # lies above the others, so that they don't go by themselves
+        del many
+        yield from ()
+
+    pinned, held = [], []
+    for wrapped in (lambda r: r, frame.trimmed):
+        assert not list(wrapped(run)(iter(())))
+        held.append(psutil.Process().memory_info().rss / 2**20)
+    assert held[1] < held[0] - 150
