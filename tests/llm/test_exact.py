@@ -95,6 +95,18 @@ def test_bpe_of_another_vocabulary():
         assert own.encode(t) == other(t)
 
 
+def test_short_pieces_are_encoded_from_the_front(pair, monkeypatch):
+    own, other = pair
+    rng = random.Random(2)
+    pieces = ["".join(rng.choice("etaoinshrdlu é'x") for _ in range(rng.randint(1, 12))).encode() for _ in range(3000)]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    slow = [own.encode_bytes(p) for p in pieces]
+    monkeypatch.undo()
+    monkeypatch.setattr(own, "automaton", None)
+    assert [own.encode_bytes(p) for p in pieces] == slow
+    assert own.encode("short words") == other("short words")
+
+
 def test_bpe_query(spark, folder, texts, pair):
     got = {r.doc_id: r for r in queries.QUERIES["op7_bpe"](spark, folder).collect()}
     assert all(got[d].ids == pair[1](t) and got[d].exact for d, t in zip(texts.doc_id, texts.text))
