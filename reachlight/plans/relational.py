@@ -174,9 +174,21 @@ def repo_rule_matrix(spark, folder):
 
 
 def recursive_closure(spark, folder):
-    """All that inherits from a seed, however far: parts whose parent is a third of their key."""
-    table(spark, folder, "part").select("p_partkey").createOrReplaceTempView("closure_parts")
-    return spark.sql(CLOSURE_SQL.format(table="closure_parts"))
+    """All that inherits from a seed, however far: parts whose parent is a third of their key.
+
+    Spark's recursion stops with an error beyond a million rows, and each of its steps joins all that came before. A
+    part's forebears follow from its key, so each part's whole chain is looked up in one join: it is in the closure if
+    every link is there, as often as the links' numbers of rows multiply to.
+    """
+    step = lambda chain: F.concat(chain, F.array(F.floor(F.element_at(chain, -1) / 3).cast("bigint")))
+    # a key of 64 bits has less than 41 forebears, as each is a third of the one before
+    above = F.aggregate(F.sequence(F.lit(0), F.lit(40)), F.array(F.col("p_partkey").cast("bigint")), lambda chain, _: F.when(F.element_at(chain, -1) > 2, step(chain)).otherwise(chain))
+    rows = table(spark, folder, "part").where("p_partkey > 0").groupBy("p_partkey").agg(F.count("*").alias("n"))
+    links = rows.select("p_partkey", F.posexplode(above).alias("depth", "link"))
+    there = rows.select(F.col("p_partkey").cast("bigint").alias("link"), "n")
+    whole = links.join(there, "link").groupBy("p_partkey").agg(F.max("depth").alias("depth"), F.count("*").alias("found"), F.min("link").alias("seed"), F.collect_list("n").alias("ns"))
+    times = F.aggregate("ns", F.lit(1).cast("bigint"), lambda a, n: a * n)
+    return whole.where("found = depth + 1 AND seed IN (1, 2)").select("p_partkey", "depth", F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("copy")).drop("copy")
 
 
 CLOSURE_SQL = """
