@@ -76,23 +76,28 @@ def declared(caps: DataFrame, facts: DataFrame) -> DataFrame:
     return with_classes.withColumn("declared", F.coalesce(why, F.lit(""))).drop("around", "guarded_classes")
 
 
-def findings(caps: DataFrame, facts: DataFrame, suppressions: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+def findings(caps: DataFrame, facts: DataFrame, suppressions: DataFrame | None = None) -> DataFrame:
     """Capabilities that no dominating guard covers, one row each, with suppressed and why.
 
-    suppressions: (repo, path, rule_id), matched on the rule's own id; baseline: (path, snippet_hash).
+    suppressions: (repo, path, rule_id), matched on the rule's own id.
     """
     open_ = declared(caps.where("guard_status != 'guarded'"), facts)
     severity = F.when(F.col("guard_status") == "weak", "low").when(F.col("guard_status") == "unbound", "medium").when(F.col("confidence") == "medium", downgraded(F.col("severity"))).otherwise(F.col("severity"))
     ending = looked_up(F.col("guard_status"), {"weak": "-WEAK", "unbound": "-UNBOUND", "": ""})
-    out = open_.withColumns({"by_comment": F.lit(False), "in_baseline": F.lit(False)})
+    out = open_.withColumn("by_comment", F.lit(False))
     if suppressions is not None:
         out = out.drop("by_comment").join(suppressions.select("repo", "path", "rule_id", F.lit(True).alias("by_comment")).distinct(), ["repo", "path", "rule_id"], "left")
-    if baseline is not None:
-        known = baseline.where("path != '' AND snippet_hash != ''").select("path", "snippet_hash", F.lit(True).alias("in_baseline")).distinct()
-        out = out.drop("in_baseline").join(known, ["path", "snippet_hash"], "left")
-    why = F.when(F.coalesce("in_baseline", F.lit(False)), "baseline").when(F.coalesce("by_comment", F.lit(False)), "inline").when(F.col("declared") != "", F.concat(F.lit("declared:"), "declared")).otherwise("")
+    why = F.when(F.coalesce("by_comment", F.lit(False)), "inline").when(F.col("declared") != "", F.concat(F.lit("declared:"), "declared")).otherwise("")
     shown = out.withColumns({"base_rule_id": F.col("rule_id"), "rule_id": F.concat("rule_id", ending), "severity": severity, "suppression_reason": why, "suppressed": why != "", "remediation": remediation(F.col("category"))})
-    return shown.withColumn("effective_severity", effective_severity(F.col("severity"), F.col("confidence"))).drop("by_comment", "in_baseline", "declared", "fn")
+    return shown.withColumn("effective_severity", effective_severity(F.col("severity"), F.col("confidence"))).drop("by_comment", "declared", "fn")
+
+
+def with_baseline(found: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Findings, those suppressed that a baseline (path, snippet_hash) holds."""
+    known = baseline.where("path != '' AND snippet_hash != ''").select("path", "snippet_hash", F.lit(True).alias("in_baseline")).distinct()
+    hit = F.col("in_baseline").isNotNull()
+    out = found.join(known, ["path", "snippet_hash"], "left")
+    return out.withColumns({"suppression_reason": F.when(hit, "baseline").otherwise(F.col("suppression_reason")), "suppressed": hit | F.col("suppressed")}).select(*found.columns)
 
 
 def gate(found: DataFrame, threshold: str) -> DataFrame:

@@ -33,8 +33,6 @@ class Scan(NamedTuple):
     unsupported: DataFrame
 
 
-
-
 def _ddl() -> str:
     """The facts' schema; nested fields keep their colons, top ones have none."""
     out, depth = [], 0
@@ -58,6 +56,29 @@ def facts(files: DataFrame) -> DataFrame:
     return files.where(F.col("language").isin(*tree.ANALYSED)).select("repo", "path", "language", "source", "sha256", "error").mapInArrow(run, schema)
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """One row in the shape of files() for each content that can be analysed: repo is its language, path its hash.
+
+    Facts and all that follows from them depend on nothing else of a file, so that a content is analysed once however many
+    files hold it; of_files() gives each of them its rows.
+    """
+    held = files.where(F.col("language").isin(*tree.ANALYSED) & (F.col("error") == "")).select("language", "sha256", "source").distinct()
+    return held.select(F.col("language").alias("repo"), F.col("sha256").alias("path"), "language", "source", "sha256", F.lit("").alias("tier"), F.lit("").alias("error"))
+
+
+def of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows of contents as rows of every file that holds the content, in the same columns; tier is the file's."""
+    held = files.where(F.col("language").isin(*tree.ANALYSED) & (F.col("error") == "")).select("repo", "path", "tier", F.col("language").alias("its_language"), F.col("sha256").alias("its_hash"))
+    keys = {"repo": "its_language", "path": "its_hash"}
+    return rows.drop("tier").withColumnsRenamed(keys).join(held, list(keys.values())).select(*rows.columns)
+
+
+def _one_each(facts: DataFrame, unique: DataFrame) -> DataFrame:
+    """Of facts of files those of one file for each content in unique, as facts of contents."""
+    first = facts.groupBy("language", "sha256").agg(F.min(F.struct("repo", "path")).alias("f")).select("language", "sha256", "f.*").join(unique.select("language", "sha256"), ["language", "sha256"], "left_semi").select("repo", "path", "language", "sha256")
+    return facts.dropDuplicates(["repo", "path", "language", "sha256"]).join(first, ["repo", "path", "language", "sha256"], "left_semi").withColumns({"repo": F.col("language"), "path": F.col("sha256")})
+
+
 def scan(files: DataFrame, rules: Sequence[Rule] = catalogue.RULES, guards: Sequence[str] = catalogue.GUARDS, baseline: DataFrame | None = None, module_level: bool = False, known: DataFrame | None = None, store: str | None = None) -> Scan:
     """Scans files (see sources.tree). known: facts of an earlier scan; files whose content they hold aren't parsed again.
 
@@ -66,21 +87,31 @@ def scan(files: DataFrame, rules: Sequence[Rule] = catalogue.RULES, guards: Sequ
 
     A scan without findings means that no supported unguarded path was identified, never that the code is safe.
     """
+    unique = contents(files)
+    if store is None:
+        unique = unique.persist()
     if known is None:
-        got = facts(files)
+        got = facts(unique)
     else:
-        keys = ["repo", "path", "sha256"]
-        got = known.join(files.select(*keys), keys, "left_semi").unionByName(facts(files.join(known.select(*keys), keys, "left_anti")))
+        had = _one_each(known, unique)
+        got = had.unionByName(facts(unique.join(had.select("repo", "path"), ["repo", "path"], "left_anti")))
     if store is None:
         got = got.persist()
-    else:
-        got.write.mode("overwrite").parquet(store)
-        got = files.sparkSession.read.schema(got.schema).parquet(store)
+    unread = files.where(F.col("language").isin(*tree.ANALYSED) & (F.col("error") != ""))
+    nothing = [F.array().cast(t).alias(c) for c, t in got.dtypes if t.startswith("array")]
+    all_facts = of_files(got, files).unionByName(unread.select("repo", "path", "language", "sha256", "error", *nothing))
+    if store is not None:
+        all_facts.write.mode("overwrite").parquet(store)
+        all_facts = files.sparkSession.read.schema(all_facts.schema).parquet(store)
+        got = _one_each(all_facts, unique)
     found = reached(sinks(got, rules), got, module_level)
-    found = f.without_cleanup(found, got, files, rules)
-    caps = f.capabilities(checked(found, got, guards), files, rules)
-    errors = got.where("error != ''").select("repo", "path", "error").unionByName(files.where((F.col("error") != "") & ~F.col("language").isin(*tree.ANALYSED)).select("repo", "path", "error"))
-    return Scan(files, got, caps.drop("fn"), f.findings(caps, got, tree.suppressions(files), baseline), errors, tree.unsupported(files))
+    found = f.without_cleanup(found, got, unique, rules)
+    caps = f.capabilities(checked(found, got, guards), unique, rules)
+    shown = of_files(f.findings(caps, got, tree.suppressions(unique)), files)
+    if baseline is not None:
+        shown = f.with_baseline(shown, baseline)
+    errors = of_files(got.where("error != ''").select("repo", "path", "error"), files).unionByName(files.where("error != ''").select("repo", "path", "error"))
+    return Scan(files, all_facts, of_files(caps.drop("fn"), files), shown, errors, tree.unsupported(files))
 
 
 def repositories(s: Scan) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reachlight.functions.extract import extract
 from reachlight.operators import reports
 from reachlight.operators.findings import gate, most_exposed, summary
-from reachlight.plans.scan import repositories, scan
+from reachlight.plans.scan import contents, repositories, scan
 from reachlight.sources import tree
 
 SHELL = "    subprocess.run(cmd)\n"
@@ -145,6 +145,22 @@ def test_files(spark, tmp_path):
     assert tree.files(spark, {"r": str(tmp_path)}, exclude=["_priv/**"], only=["_priv/a.py", "bad.py"]).count() == 1
 
 
+def test_a_content_is_analysed_once(spark, tmp_path):
+    """However many files hold it; each of them has its rows, a path that is there twice too, and its own tier."""
+    sources = [MODULES["plain.py"][0], MODULES["broken.py"][0], MODULES["ignored.py"][0]]
+    paths = [*(f"{i}.py" for i in range(300)), "docs/a.py", "x.go"]
+    table = spark.createDataFrame([(r, p, s) for r in "ab" for p in paths for s in sources], "repo string, path string, source string")
+    files = tree.from_table(table, "repo", "path", "source").withColumn("tier", F.when(F.col("path").startswith("docs/"), "example").otherwise("production"))
+    assert contents(files).count() == 6
+    first = scan(files, store=str(tmp_path / "facts"))
+    again = scan(files, known=first.facts)
+    for s in (first, again):
+        assert s.facts.count() == s.facts.where("repo IN ('a', 'b')").count() == 2 * 302 * 3
+        rows = {(r.rule_id, r.tier, r.suppressed): r.n for r in s.findings.groupBy("rule_id", "tier", "suppressed").agg(F.count("*").alias("n")).collect()}
+        assert rows == {("EXEC-SHELL", t, x): n for t, n in (("production", 600), ("example", 2)) for x in (False, True)}
+        assert s.errors.where("path LIKE '%.py'").count() == 2 * 301
+
+
 def test_cached_facts_give_the_same(spark, scanned):
     again = scan(scanned.files, known=scanned.facts)
     key = ["path", "line", "rule_id", "suppressed"]
