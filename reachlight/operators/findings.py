@@ -132,9 +132,12 @@ def by_consequence(found: DataFrame, most: int = 6) -> DataFrame:
         inner = rf"(?:[^()]|\({inner}\))*"
     last = F.regexp_extract("call_text", rf"([^\s().]+)\s*\({inner}\)\s*$", 1)
     method = F.when(last != "", last).otherwise(F.element_at(F.split(F.regexp_extract("call_text", r"^([^(]*)", 1), r"\."), -1))
-    each = found.where("NOT suppressed").select("repo", label(F.col("category")).alias("label"), "rule_id", exposure_key().alias("k"), method.alias("m"))
+    # what is alike but for its place is one row before any text is looked at
+    alike = ["repo", "category", "call_text", "rule_id", "effective_severity", "confidence"]
+    kinds = found.where("NOT suppressed").groupBy(*alike).agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("at")).select(*alike, "n", "at.*")
+    each = kinds.select("repo", label(F.col("category")).alias("label"), "rule_id", exposure_key().alias("k"), method.alias("m"), "n")
     # one row for each distinct method before any list is made
-    methods = each.groupBy("repo", "label", "m").agg(F.count("*").alias("n"), F.collect_set("rule_id").alias("ids"), F.min("k").alias("k"))
+    methods = each.groupBy("repo", "label", "m").agg(F.sum("n").alias("n"), F.collect_set("rule_id").alias("ids"), F.min("k").alias("k"))
     first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]), 1, most)
     return methods.groupBy("repo", "label").agg(F.sum("n").alias("findings"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("rule_ids"), first.alias("methods"))
 
