@@ -116,8 +116,10 @@ def scan(files: DataFrame, rules: Sequence[Rule] = catalogue.RULES, guards: Sequ
 
 def repositories(s: Scan) -> DataFrame:
     """Per repository: files scanned, errors, findings, and maps of findings by rule and by severity."""
-    shown = s.findings.where("NOT suppressed")
-    counts = lambda c: shown.groupBy("repo", c).agg(F.count("*").alias("n")).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))
+    kinds = s.findings.where("NOT suppressed").groupBy("repo", "rule_id", "effective_severity").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("repo").agg(F.sum("n").alias("findings"), F.collect_list(F.struct("rule_id", "effective_severity", "n")).alias("kinds"))
+    total = lambda c, key: F.aggregate(F.filter("kinds", lambda k: k[c] == key), F.lit(0).cast("bigint"), lambda a, k: a + k["n"])
+    counts = lambda c: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform("kinds", lambda k: k[c]))), lambda key: F.struct(key.alias(c), total(c, key).alias("n")))).alias(f"by_{c}")
     base = s.files.groupBy("repo").agg(F.count_if(F.col("language").isin(*tree.ANALYSED)).alias("files_scanned"))
-    out = base.join(s.errors.groupBy("repo").agg(F.count("*").alias("errors")), "repo", "left").join(shown.groupBy("repo").agg(F.count("*").alias("findings")), "repo", "left")
-    return out.join(counts("rule_id"), "repo", "left").join(counts("effective_severity"), "repo", "left").fillna(0, ["errors", "findings"])
+    out = base.join(s.errors.groupBy("repo").agg(F.count("*").alias("errors")), "repo", "left")
+    return out.join(kinds.select("repo", "findings", counts("rule_id"), counts("effective_severity")), "repo", "left").fillna(0, ["errors", "findings"])
