@@ -657,3 +657,21 @@ def test_workers_give_back_what_they_freed():
         assert not list(wrapped(run)(iter(())))
         held.append(psutil.Process().memory_info().rss / 2**20)
     assert held[1] < held[0] - 150
+
+
+def test_packed_rows_are_whole_in_any_number_of_groups():
+    """Every row comes out once, in its group, with its own set; each group's sets are in order of their ids."""
+    rng, n, sets = np.random.default_rng(5), 5000, 300
+    ids = rng.permutation(10_000)[:sets].astype(np.int64) - 5000
+    size, clump = rng.integers(50, 1500, sets), rng.integers(0, 3, sets)
+    rows = segments.Rows(rng.integers(0, 1 << 40, n).astype(np.uint64), rng.integers(0, sets, n), np.zeros(n), rng.integers(1, 4, n), rng.integers(1, 1 << 32, n))
+    want = sorted(zip(rows.sig.tolist(), ids[rows.doc].tolist(), size[rows.doc].tolist(), clump[rows.doc].tolist(), rows.flags.tolist(), rows.before.tolist()))
+    for groups in (1, 7, 4000):
+        (batch,), got = neardup._sent(rows, ids, size, clump, groups, segments.Plan(0.6)), []
+        assert len(set(batch.column(0).to_pylist())) == batch.num_rows
+        for g, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            own, its_size, its_clump, sig, which, _, flags, before = blobs.get(blob)
+            own, sig = blobs.sums(own).view(np.int64), blobs.sums(sig)
+            assert (np.diff(own) > 0).all() and set((sig.astype(object) * groups >> 40).tolist()) == {g}
+            got += zip(sig.tolist(), own[which].tolist(), its_size[which].tolist(), its_clump[which].tolist(), flags.tolist(), before.tolist())
+        assert sorted(got) == want
